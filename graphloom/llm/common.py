@@ -12,20 +12,19 @@ Conventions that every operator of this subpackage keeps:
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..scratch import discard, materialise
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Distinct words kept in a worker's hash cache before it is emptied.
-CACHE_WORDS = 400_000
+#: Bytes of text hashed at once; what a task holds beside its texts is some ten times that.
+BLOCK_BYTES = 1 << 20
 #: Rabin-Karp bases (odd, so they have inverses modulo 2**64).
 BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xC2B2AE3D27D4EB4F
@@ -35,34 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared scratch folder and read it back: cuts lineage, and what is
-    read later never depends on an executor's own disk."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`materialise` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graphloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_row_key(docs: DataFrame) -> DataFrame:
     """``(row_key, doc_id, text)`` where ``row_key`` is a unique long in doc_id order.
 
@@ -77,17 +48,6 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return materialise(ordered.select("row_key", "doc_id", "text"), "keyed")
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def words_of(text: str | None) -> list[str]:
     """The ASCII-white-space words of a text; Unicode spaces are part of words."""
     if not text:
@@ -99,13 +59,6 @@ def words_of(text: str | None) -> list[str]:
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
-_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
@@ -145,13 +98,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles of the lower-cased text; a text with
-    fewer words has one shingle, a text without words none."""
-    words = words_of(ascii_lower(text)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(word_hashes(words), min(width, len(words))))
+_table = np.random.Generator(np.random.PCG64(20250101)).integers(1 << 63, dtype=np.uint64, size=256) * np.uint64(2) + np.uint64(1)
+_lower_table = _table.copy()
+_lower_table[65:91] = _table[97:123]
+_BASE_WORD = 0xFF51AFD7ED558CCD
+_space = np.zeros(256, bool)
+_space[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _block_hashes(a: np.ndarray, begins: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of some bytes; no word goes across an offset in ``begins``."""
+    inside = np.zeros(len(a) + 2, bool)
+    np.logical_not(_space[a], out=inside[1:-1])
+    edge = np.zeros(len(a) + 1, bool)
+    edge[begins] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+    up, down = _power_table(_BASE_WORD, len(a) + 1)
+    prefix = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((_lower_table if lower else _table)[a] * up[: len(a)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts]), starts
+
+
+def batch_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a string array in a row, and where each text's words begin
+    (one more entry than texts). Polynomial hashes of the UTF-8 bytes, from prefix sums."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    at, stop = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
+    hashes, starts = [], []
+    while at < stop:
+        end = min(at + BLOCK_BYTES, stop)
+        if end < stop:  # cut at white space, or at the end of a word longer than a block
+            gaps = np.flatnonzero(_space[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                rest = np.flatnonzero(_space[data[end:stop]])
+                end = end + int(rest[0]) if len(rest) else stop
+        own = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
+        h, s = _block_hashes(data[at:end], own, lower)
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def batch_windows(h: np.ndarray, bounds: np.ndarray, width: int, base: int = BASE_A) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and position of every window of ``width`` words inside one text."""
+    counts = np.maximum(np.diff(bounds) - width + 1, 0)
+    text = np.repeat(np.arange(len(counts)), counts)
+    position = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return window_hashes(h, width, base)[position + bounds[:-1][text]] if len(text) else np.empty(0, np.uint64), text, position
+
+
+def word_hashes(words: list[str], lower: bool = False) -> np.ndarray:
+    return batch_hashes(pa.array([" ".join(words)]), lower)[0]
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of the ``width``-word shingles of its words, A-Z
+    lower-cased; a text with fewer words has one shingle, a text without words none."""
+    h, bounds = batch_hashes(texts, lower=True)
+    w = window_hashes(h, width)
+    out = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out.append(np.unique(w[s : e - width + 1]) if e - s >= width else window_hashes(h[s:e], e - s) if e > s else h[:0])
+    return out
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -171,6 +187,23 @@ def batches(batch: pa.RecordBatch, limit_bytes: int = 8 << 20) -> Iterable[pa.Re
         yield batch.slice(start)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df`` (for a scan, its files' size)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, lowest first: the mostly empty high planes then compress."""
+    width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4 if values.max() < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return np.ascontiguousarray(raw).view(f"<u{width}").ravel().astype(np.int64)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = []
@@ -178,4 +211,3 @@ def arrow_schema(ddl: str) -> pa.Schema:
         name, kind = part.split()
         fields.append(pa.field(name, pa.list_(kinds[kind[6:-1]]) if kind.startswith("array<") else kinds[kind]))
     return pa.schema(fields)
-

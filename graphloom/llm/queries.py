@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, pii, secrets
+from . import decontamination, packing, pii, secrets, substrings
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -24,4 +28,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op6_packing, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_substrings, op6_packing, op9_secrets, op10_decontamination)}
