@@ -34,8 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """``(row_key, doc_id, text)`` where ``row_key`` is a unique long in doc_id order.
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(row_key, doc_id, text)`` where ``row_key`` is a unique long in doc_id order, and whether
+    it is the doc_id itself.
 
     Normally doc_id is unique and is its own key. Where ids repeat or are null, rows get a key in
     the order (doc_id with nulls first, text), so each row stays a document of its own.
@@ -43,9 +44,9 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bad = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not bad:
-        return docs.select(F.col("doc_id").cast("long").alias("row_key"), "doc_id", "text")
+        return docs.select(F.col("doc_id").cast("long").alias("row_key"), "doc_id", "text"), True
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn("row_key", F.monotonically_increasing_id())
-    return materialise(ordered.select("row_key", "doc_id", "text"), "keyed")
+    return materialise(ordered.select("row_key", "doc_id", "text"), "keyed"), False
 
 
 def words_of(text: str | None) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, pii, secrets, substrings
+from . import decontamination, jaccard, packing, pii, secrets, substrings
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -28,4 +32,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_substrings, op6_packing, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_substrings, op5_jaccard, op6_packing, op9_secrets, op10_decontamination)}

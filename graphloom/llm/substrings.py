@@ -59,12 +59,12 @@ def unpack_marks(docs: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray,
 
 
 def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    """The group of documents that a key belongs to; _group_column says the same in SQL."""
+    """The group of documents that a key belongs to; group_column says the same in SQL."""
     return (doc ^ (doc >> 7) ^ (doc >> 15)) % groups
 
 
-def _group_column(groups: int) -> Column:
-    key = F.col("row_key")
+def group_column(groups: int, name: str = "row_key") -> Column:
+    key = F.col(name)
     return F.pmod(key.bitwiseXOR(F.shiftright(key, 7)).bitwiseXOR(F.shiftright(key, 15)), F.lit(groups))
 
 
@@ -171,10 +171,10 @@ def _apply(width: int):
 def deduplicate(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, removed, kept_text)`` per document; ``removed`` lists the
     maximal removed intervals in words."""
-    keyed = with_row_key(docs)
+    keyed, _ = with_row_key(docs)
     buckets = max(16, -(-input_bytes(keyed) // bucket_bytes))
     marked = _send(keyed.select("row_key", "text"), width, buckets).groupBy("bucket").applyInArrow(_mark(buckets), MARKED)
-    grouped = keyed.withColumn("grp", _group_column(buckets))
+    grouped = keyed.withColumn("grp", group_column(buckets))
     return grouped.groupBy("grp").cogroup(marked.groupBy("grp")).applyInArrow(_apply(width), RESULT)
 
 
