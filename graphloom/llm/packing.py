@@ -11,6 +11,7 @@ packed once per row; an empty table gives no pieces. Only the very last sequence
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,8 +24,9 @@ from .common import arrow_schema, batches, columns, materialise
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
-#: Distinct pieces of text whose ids a worker keeps before it forgets them.
-CACHE_PIECES = 300_000
+#: Distinct words, and pieces of words, whose ids a worker keeps before it forgets them
+#: (about 200 bytes each).
+CACHE_WORDS, CACHE_PIECES = 300_000, 700_000
 
 ENCODED = "part int, off long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -57,26 +59,37 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Add words that are not known; pieces that are not known are encoded in one batch."""
+        cut, pieces = {w: self._SPLIT.findall(w) for w in words}, self.pieces
+        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(cut.values())) if p not in pieces]
+        if len(pieces) + len(new) > CACHE_PIECES:
+            pieces.clear()
+            new = list(dict.fromkeys(itertools.chain.from_iterable(cut.values())))
+        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            pieces[piece] = np.array(encoding.ids, "<u2").tobytes()
+        for w, parts in cut.items():
+            self.words[w] = b"".join(map(pieces.__getitem__, parts))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self._NOT_PLAIN.search(text) or any(s in text for s in self.specials):
             return self._ids(text)
-        pieces, known = self._SPLIT.findall(text.lower()), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > CACHE_PIECES:
+        words, known = text.lower().split(), self.words
+        new = set(words).difference(known)
+        if new:
+            if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(encoding.ids, "<u2").tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+                new = set(words)
+            self._learn(list(new))
+        return b"".join(map(known.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -116,7 +129,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence_tokens: int = S
     """Pieces ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``; ids are
     little-endian unsigned 32-bit."""
     encoded = materialise(encode(docs, tokenizer or default_tokenizer(), end_id), "encoded")
-    # One row per input partition: the only global step, and it never sees documents.
+    # One row per input partition: the only global step, and it never sees documents. The broadcast
+    # side is as many rows of 16 bytes as there are input partitions.
     totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
 
@@ -141,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence_tokens: int = S
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    placed = encoded.join(before, "part").select("doc_id", (F.col("off") + F.col("before")).alias("at"), "n", "ids")
+    placed = encoded.join(F.broadcast(before), "part").select("doc_id", (F.col("off") + F.col("before")).alias("at"), "n", "ids")
     return placed.mapInArrow(cut, PIECES)
 
 
