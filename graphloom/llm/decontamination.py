@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, ascii_lower, columns, window_hashes, word_hashes, words_of
+from .common import arrow_schema, ascii_lower, batch_hashes, batch_windows, batches, window_hashes, word_hashes, words_of
 
 WIDTH = 5
 #: Containment from which an item counts as found.
@@ -64,25 +64,28 @@ class ItemBlock:
             self.bits[k] = np.zeros(1 << _FILTER_BITS, bool)
             self.bits[k][self.keys[k] & np.uint64((1 << _FILTER_BITS) - 1)] = True
 
-    def find(self, text: str | None) -> Iterator[tuple[int, int, int]]:
-        """(item_id, item's shingles, shared shingles) of each item found in the text."""
-        words = words_of(ascii_lower(text)) if text else []
-        if not words:
-            return
-        h, rows = word_hashes(words), set()
+    def candidates(self, texts: pa.Array) -> dict[int, set[int]]:
+        """Rows of the items whose sketch has a shingle of the text, by text number."""
+        out: dict[int, set[int]] = defaultdict(set)
+        h, bounds = batch_hashes(texts, lower=True)
         for k, keys in self.keys.items():
-            w = window_hashes(h, k)
-            w = w[self.bits[k][w & np.uint64((1 << _FILTER_BITS) - 1)]]
-            if len(w):
-                for x in w[np.isin(w, keys)].tolist():
-                    rows.update(self.sketch[k][x])
-        if rows:
+            w, number, _ = batch_windows(h, bounds, k)
+            hit = np.flatnonzero(self.bits[k][w & np.uint64((1 << _FILTER_BITS) - 1)])
+            hit = hit[np.isin(w[hit], keys)]
+            for x, n in zip(w[hit].tolist(), number[hit].tolist(), strict=True):
+                out[n].update(self.sketch[k][x])
+        return out
+
+    def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, item_id, item's shingles, shared shingles) of each item found in a text."""
+        for number, rows in sorted(self.candidates(texts).items()):
+            words = words_of(ascii_lower(texts[number].as_py()))
             own = {k: {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} for k in {self.items[r][1] for r in rows}}
             for r in sorted(rows):
                 item_id, k, shingles = self.items[r]
                 shared = len(shingles & own[k])
                 if shared >= self.threshold * len(shingles) - 1e-9:
-                    yield item_id, len(shingles), shared
+                    yield number, item_id, len(shingles), shared
 
 
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -107,8 +110,9 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, schema = ItemBlock(shared.value, width, threshold), arrow_schema(MATCHES)
-            for batch in it:
-                rows = [(d, i, n, s, s / n) for d, text in columns(batch, "doc_id", "text") for i, n, s in index.find(text)]
+            for batch in (b for whole in it for b in batches(whole)):
+                doc = batch.column(0)
+                rows = [(doc[number].as_py(), i, n, s, s / n) for number, i, n, s in index.find(batch.column(1))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -125,8 +129,10 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
 
         def keep(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemBlock(shared.value, width, threshold)
-            for batch in it:
-                yield batch.filter(pa.array([next(index.find(text), None) is None for (text,) in columns(batch, "text")], pa.bool_()))
+            for batch in (b for whole in it for b in batches(whole)):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[number for number, *_ in index.find(batch.column(batch.schema.get_field_index("text")))]] = False
+                yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
