@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, packing, pii, secrets, substrings
+from . import decontamination, jaccard, packing, pii, secrets, substrings, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
 
@@ -32,4 +36,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_substrings, op5_jaccard, op6_packing, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op4_substrings, op5_jaccard, op6_packing, op9_secrets, op10_decontamination)}
