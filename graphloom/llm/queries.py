@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, packing, pii, secrets, substrings, toxicity
+from . import decontamination, jaccard, packing, pii, quality, secrets, substrings, toxicity
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
 
@@ -36,4 +41,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op4_substrings, op5_jaccard, op6_packing, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_substrings, op5_jaccard, op6_packing, op9_secrets, op10_decontamination)}
