@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, packing, pii, quality, secrets, substrings, toxicity
+from . import decontamination, jaccard, licenses, packing, pii, quality, secrets, substrings, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -41,4 +45,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_substrings, op5_jaccard, op6_packing, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_substrings, op5_jaccard, op6_packing, op7_licenses, op9_secrets, op10_decontamination)}
