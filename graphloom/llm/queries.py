@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard, licenses, packing, pii, quality, secrets, substrings, toxicity
+from . import chat, decontamination, jaccard, licenses, packing, pii, quality, secrets, substrings, toxicity
 from .common import table
 
 
@@ -37,6 +37,12 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = chat.format_chats(turns, chat.fit(turns.filter(chat.training_fold())))
+    return found.select("conv_id", "turn", "role", F.length("content").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -45,4 +51,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_substrings, op5_jaccard, op6_packing, op7_licenses, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_substrings, op5_jaccard, op6_packing, op7_licenses, op8_chat, op9_secrets, op10_decontamination)}
