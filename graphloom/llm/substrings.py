@@ -179,4 +179,4 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_
 
 
 def digests(result: DataFrame) -> DataFrame:
-    return result.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+    return result.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
