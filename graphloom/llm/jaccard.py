@@ -2,7 +2,8 @@
 0.8 of their union, as connected components.
 
 1. One pass over the texts gives each document its set size, a 128-bit fingerprint of the set, and
-   a hashed bitmap: 1,024 parity bits. Documents with equal fingerprints are one class; its
+   a hashed bitmap of parity bits, as wide as the power of two from the set's size (a wider bitmap
+   folds to a narrower one, so sizes within a band always compare). Documents with equal fingerprints are one class; its
    smallest member stands for it. The same pass counts all shingles in a fixed-size sketch.
 2. Linked sets share at least 0.8 of the larger one, so they share one of their first
    n - ceil(0.8 n) + 1 shingles in any common order. The order puts shingles that the sketch finds
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import star_components
 from .common import arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, input_bytes, materialise, mix, planes, shingle_sets, window_hashes, with_row_key
@@ -39,7 +40,8 @@ from .common import arrow_schema, batch_hashes, batch_windows, batches, columns,
 WIDTH = 5
 #: Link when NUMERATOR / DENOMINATOR of the union is shared.
 NUMERATOR, DENOMINATOR = 80, 100
-SIGNATURE_BITS = 1024
+#: Bounds of a bitmap's width.
+LEAST_BITS, MOST_BITS = 256, 1 << 20
 #: Cells of the count sketch (4 bytes each); what is sent to the driver has this size always.
 SKETCH_CELLS = 1 << 20
 SKETCH_SHARDS = 16
@@ -89,10 +91,27 @@ def fingerprints(w: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray,
     return _sums(mix(w ^ np.uint64(0x243F6A8885A308D3)), number, n), _sums(mix(w + np.uint64(0x13198A2E03707344)), number, n)
 
 
-def signatures(w: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
-    """(n, SIGNATURE_BITS / 8) bytes: the parity of the elements on each bit."""
-    at = number * SIGNATURE_BITS + (w >> np.uint64(37)).astype(np.int64) % SIGNATURE_BITS
-    return np.packbits((np.bincount(at, minlength=n * SIGNATURE_BITS) & 1).astype(np.uint8).reshape(n, SIGNATURE_BITS), axis=1)
+def signatures(w: np.ndarray, number: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set the parity of its elements on each bit, little-endian bits."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    begin = np.cumsum(width) - width
+    at = begin[number] + ((w >> np.uint64(37)).astype(np.int64) & (width[number] - 1))
+    packed = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[b // 8 : (b + n) // 8] for b, n in zip(begin.tolist(), width.tolist(), strict=True)]
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap (64-bit words in the last axis) at a narrower width."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def within_bound(differ, total):
+    """Can sets of together ``total`` elements whose bitmaps differ in ``differ`` bits be linked?
+    Each differing bit is an element of one set only: 2 * overlap <= total - differ."""
+    return (total - differ) * (NUMERATOR + DENOMINATOR) >= 2 * NUMERATOR * total
 
 
 def describe(keyed: DataFrame) -> DataFrame:
@@ -105,7 +124,7 @@ def describe(keyed: DataFrame) -> DataFrame:
             w, number, sizes = sets_of(batch.column(2))
             f1, f2 = fingerprints(w, number, n)
             np.add.at(sketch, (w & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), np.uint32(1))
-            bits = [row.tobytes() for row in signatures(w, number, n)]
+            bits = signatures(w, number, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bits, pa.binary())], schema=schema)
         for shard, part in enumerate(sketch.reshape(SKETCH_SHARDS, -1)):
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((1, shard, None, 0, 0, 0, part.tobytes()), schema, strict=True)], schema=schema)
@@ -228,20 +247,21 @@ def _first_round(tiles: DataFrame) -> DataFrame:
     return tiles.select("lengths", "docs", "sizes").mapInArrow(run, PAIRS).distinct()
 
 
-def within_bound(bits: Column, n_a: Column, n_b: Column) -> Column:
-    """Can sets of these sizes whose bitmaps differ in so many bits be linked? Each differing bit is
-    an element of one set only, so 2 * overlap <= n_a + n_b - bits."""
-    return (n_a + n_b - bits) * (NUMERATOR + DENOMINATOR) >= 2 * NUMERATOR * (n_a + n_b)
+def _bound(pairs: DataFrame, meta: DataFrame) -> DataFrame:
+    """Pairs that their bitmaps leave possible."""
+    both = pairs.join(meta.select(F.col("row_key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    both = both.join(meta.select(F.col("row_key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for n_a, n_b, x, y in columns(batch, "n_a", "n_b", "bits_a", "bits_b"):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(x), len(y))
+                keep.append(within_bound(int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()), n_a + n_b))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _bound(pairs: DataFrame, meta: DataFrame) -> DataFrame:
-    """Pairs that their bitmaps leave possible. The words of a bitmap are compared as longs."""
-    words = F.array(*(F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SIGNATURE_BITS // 64)))
-    sets = meta.select("row_key", "n", words.alias("w"))
-    both = pairs.join(sets.select(F.col("row_key").alias("a"), F.col("n").alias("n_a"), F.col("w").alias("w_a")), "a")
-    both = both.join(sets.select(F.col("row_key").alias("b"), F.col("n").alias("n_b"), F.col("w").alias("w_b")), "b")
-    differ = sum((F.bit_count(F.col("w_a")[i].bitwiseXOR(F.col("w_b")[i])) for i in range(SIGNATURE_BITS // 64)), F.lit(0))
-    return both.filter(within_bound(differ, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, PAIRS)
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, groups: int) -> DataFrame:
@@ -279,18 +299,25 @@ def _verified(pairs: DataFrame, keyed: DataFrame, groups: int) -> DataFrame:
     return sent.select("work", "a", "piece", "row_key", "elements").groupBy("work").applyInArrow(verify, PAIRS)
 
 
-def second_pairs(key: np.ndarray, size: np.ndarray, comp: np.ndarray, words: np.ndarray) -> Iterator[np.ndarray]:
+def second_pairs(key: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes]) -> Iterator[np.ndarray]:
     """Pairs of a tile (sorted by size) in different components that their bitmaps leave possible."""
-    for i in range(len(key) - 1):
-        end = int(np.searchsorted(size, DENOMINATOR * size[i] // NUMERATOR, "right"))
-        j = np.arange(i + 1, end)
-        j = j[comp[j] != comp[i]]
-        if len(j):
-            differ = np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64)
-            total = size[j] + size[i]
-            j = j[(total - differ) * (NUMERATOR + DENOMINATOR) >= 2 * NUMERATOR * total]
+    if len(key) < 2 or (comp == comp[0]).all():
+        return
+    width = np.array([len(b) // 8 for b in bits])
+    for words in np.unique(width).tolist():
+        # Sizes within a band: the larger set's bitmap is as wide, or wider and folded.
+        base = np.flatnonzero(width == words)
+        until = int(np.searchsorted(size, DENOMINATOR * size[base[-1]] // NUMERATOR, "right"))
+        matrix = np.stack([fold(np.frombuffer(b, np.uint64), words) for b in bits[base[0] : until]])
+        for i in base.tolist():
+            end = int(np.searchsorted(size, DENOMINATOR * size[i] // NUMERATOR, "right"))
+            j = np.arange(i + 1, end)
+            j = j[comp[j] != comp[i]]
             if len(j):
-                yield np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1)
+                differ = np.bitwise_count(matrix[j - base[0]] ^ matrix[i - base[0]]).sum(1, dtype=np.int64)
+                j = j[within_bound(differ, size[j] + size[i])]
+                if len(j):
+                    yield np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1)
 
 
 def _second_round(tiles: DataFrame, comps: DataFrame, meta: DataFrame, groups: int) -> DataFrame:
@@ -311,13 +338,13 @@ def _second_round(tiles: DataFrame, comps: DataFrame, meta: DataFrame, groups: i
 
     def compare(rows: pa.Table) -> pa.Table:
         token, key, size, comp = (rows.column(c).to_numpy() for c in ("token", "row_key", "n", "comp"))
-        words = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
+        bits = rows.column("bits").to_pylist()
         order = np.lexsort((key, size, token))
-        token, key, size, comp, words = token[order], key[order], size[order], comp[order], words[order]
+        token, key, size, comp, bits = token[order], key[order], size[order], comp[order], [bits[i] for i in order.tolist()]
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]).tolist()
         found: list[np.ndarray] = []
         for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-            found += second_pairs(key[s:e], size[s:e], comp[s:e], words[s:e])
+            found += second_pairs(key[s:e], size[s:e], comp[s:e], bits[s:e])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow_schema(PAIRS))
 
