@@ -157,7 +157,7 @@ def _apply(width: int):
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
         keys, at = np.unique(doc, return_index=True)
-        span = dict(zip(keys.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True), strict=True))
+        span = {k: (s, e) for k, s, e in zip(keys.tolist(), at.tolist(), [*at.tolist(), len(doc)][1:], strict=True)}
         rows = []
         for key, doc_id, text in columns(docs, "row_key", "doc_id", "text"):
             s, e = span.get(key, (0, 0))
