@@ -1,0 +1 @@
+"""Column helpers, distributed ranking, and exact sequential kernels."""
