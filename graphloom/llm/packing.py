@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
 #: Distinct words, and pieces of words, whose ids a worker keeps before it forgets them
 #: (about 200 bytes each).
-CACHE_WORDS, CACHE_PIECES = 300_000, 700_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
 
 ENCODED = "part int, off long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -38,6 +40,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordEncoder:
     """Ids of a text by a white-space-insensitive word tokenizer, as little-endian 16-bit bytes.
 
@@ -53,9 +62,13 @@ class WordEncoder:
     _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba-\xbb\xbf-įı-ɏ]")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same vocabulary and merges for pieces, which are normalized and split already.
+        self.piece_tokenizer = Tokenizer.from_file(path)
+        self.piece_tokenizer.normalizer = normalizers.Sequence([])
+        self.piece_tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -63,19 +76,28 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _cut(self, word: str) -> list[str]:
+        """Pieces of a word; the two commonest shapes need no pattern."""
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return [word[:-1], word[-1]]
+        return self._SPLIT.findall(word)
 
     def _learn(self, words: list[str]) -> None:
         """Add words that are not known; pieces that are not known are encoded in one batch."""
-        cut, pieces = {w: self._SPLIT.findall(w) for w in words}, self.pieces
-        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(cut.values())) if p not in pieces]
+        cut, pieces = {w: self._cut(w) for w in words}, self.pieces
+        needed = set(itertools.chain.from_iterable(cut.values()))
+        new = list(needed.difference(pieces))
         if len(pieces) + len(new) > CACHE_PIECES:
             pieces.clear()
-            new = list(dict.fromkeys(itertools.chain.from_iterable(cut.values())))
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            pieces[piece] = np.array(encoding.ids, "<u2").tobytes()
+            new = list(needed)
+        for piece, encoding in zip(new, self.piece_tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            pieces[piece] = _packed(encoding.ids)
         for w, parts in cut.items():
-            self.words[w] = b"".join(map(pieces.__getitem__, parts))
+            self.words[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
