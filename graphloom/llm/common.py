@@ -12,7 +12,7 @@ Conventions that every operator of this subpackage keeps:
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ids_are_unique(docs: DataFrame) -> bool:
+    """Are all doc_ids there and different? (Reads that column only.)"""
+    return docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """All columns, and a unique long in the order (doc_id with nulls first, text)."""
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    return materialise(ordered.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``(row_key, doc_id, text)`` where ``row_key`` is a unique long in doc_id order, and whether
     it is the doc_id itself.
@@ -42,11 +53,9 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, bool]:
     the order (doc_id with nulls first, text), so each row stays a document of its own.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bad = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
-    if not bad:
+    if ids_are_unique(docs):
         return docs.select(F.col("doc_id").cast("long").alias("row_key"), "doc_id", "text"), True
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn("row_key", F.monotonically_increasing_id())
-    return materialise(ordered.select("row_key", "doc_id", "text"), "keyed"), False
+    return numbered(docs, "row_key").select("row_key", "doc_id", "text"), False
 
 
 def words_of(text: str | None) -> list[str]:
@@ -171,11 +180,56 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Worker processes live on from stage to stage. What an operator keeps in one from task to task
+    (``release`` forgets it) goes when another operator's tasks come."""
+    for other in [name for name in _held if name != owner]:
+        _held.pop(other)()
+    if release is not None:
+        _held[owner] = release
+
+
+#: Buckets that one task deals to at most. Beyond it packed rows would hold a few entries each, so data
+#: are dealt twice: to FANOUT coarse buckets, and from each of those to its share of the fine ones.
+FANOUT = 4096
+#: Entries that a task of the second deal holds before it sends them on.
+REDEAL_ENTRIES = 4_000_000
+
+
+def redealt(rows: DataFrame, key: str, schema: str, decode: Callable, encode: Callable) -> DataFrame:
+    """The second deal: ``rows`` meet by their coarse ``key`` and go out packed by fine keys.
+    ``decode(row dict) -> (coarse, entries, count)``; ``encode(coarse, list of entries) -> rows``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for coarse, entries in held.items():
+                if out := encode(coarse, entries):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow_schema(schema), strict=True)], schema=arrow_schema(schema))
+
+        for batch in it:
+            for row in batch.to_pylist():
+                coarse, entries, n = decode(row)
+                held.setdefault(coarse, []).append(entries)
+                count += n
+                if count >= REDEAL_ENTRIES:
+                    yield from flush()
+                    held, count = {}, 0
+        yield from flush()
+
+    return rows.repartition(key).mapInArrow(run, schema)
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def batches(batch: pa.RecordBatch, limit_bytes: int = 8 << 20) -> Iterable[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, limit_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
     """Slices of a batch, so that what is built for one slice stays small whatever the rows' length."""
     start, total = 0, 0
     sizes = [n or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()]

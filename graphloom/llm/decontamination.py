@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, ascii_lower, batch_hashes, batch_windows, batches, window_hashes, word_hashes, words_of
+from .common import arrow_schema, ascii_lower, batch_hashes, batch_windows, batches, hold, window_hashes, word_hashes, words_of
 
 WIDTH = 5
 #: Containment from which an item counts as found.
@@ -109,6 +109,7 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hold("decontamination")
             index, schema = ItemBlock(shared.value, width, threshold), arrow_schema(MATCHES)
             for batch in (b for whole in it for b in batches(whole)):
                 doc = batch.column(0)
@@ -128,6 +129,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            hold("decontamination")
             index = ItemBlock(shared.value, width, threshold)
             for batch in (b for whole in it for b in batches(whole)):
                 keep = np.ones(batch.num_rows, bool)

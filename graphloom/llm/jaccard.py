@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import star_components
-from .common import arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, input_bytes, materialise, mix, planes, shingle_sets, window_hashes, with_row_key
+from .common import FANOUT, arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, hold, ids_are_unique, input_bytes, materialise, mix, numbered, planes, redealt, shingle_sets, window_hashes, with_row_key
 
 WIDTH = 5
 #: Link when NUMERATOR / DENOMINATOR of the union is shared.
@@ -118,6 +118,7 @@ def describe(keyed: DataFrame) -> DataFrame:
     """Kind 0: one row per document. Kind 1: shards of the partition's count sketch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard")
         schema, sketch = arrow_schema(META), np.zeros(SKETCH_CELLS, np.uint32)
         for batch in (b for whole in it for b in batches(whole, 4 << 20)):
             n = batch.num_rows
@@ -151,8 +152,36 @@ def frequent_levels(meta: DataFrame) -> np.ndarray:
     return np.where(total < limit, 0, np.log2(np.maximum(total, 1) / limit) + 1).astype(np.uint8)
 
 
+def _packed(bucket: np.ndarray, number: np.ndarray, key: np.ndarray, sizes: np.ndarray, mark: np.ndarray, w: np.ndarray) -> list[tuple]:
+    """Rows of SENT from entries sorted by (bucket, set number); key, sizes and mark are by number."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    out = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(w)], strict=True):
+        own, count = np.unique(number[s:e], return_counts=True)
+        out.append((int(bucket[s]), key[own].astype("<i8").tobytes(), planes(sizes[own]), mark[own].tobytes(), planes(count), w[s:e].tobytes()))
+    return out
+
+
+def _redeal_shingles(sent: DataFrame, fan: int) -> DataFrame:
+    """From coarse buckets to ``fan`` fine ones each, by other bits of the hash."""
+
+    def decode(row: dict):
+        w = np.frombuffer(row["hashes"], "<u8")
+        return row["bucket"], (np.frombuffer(row["docs"], "<i8"), from_planes(row["sizes"]), np.frombuffer(row["prints"], "<u8"), from_planes(row["counts"]), w), len(w)
+
+    def encode(coarse: int, entries: list) -> list[tuple]:
+        key, sizes, mark, count, w = map(np.concatenate, zip(*entries, strict=True))
+        number = np.repeat(np.arange(len(key)), count)
+        fine = ((w >> np.uint64(33)) % np.uint64(fan)).astype(np.int64)
+        order = np.lexsort((number, fine))
+        return _packed(coarse * fan + fine[order], number[order], key, sizes, mark, w[order])
+
+    return redealt(sent, "bucket", SENT, decode, encode)
+
+
 def _send(keyed: DataFrame, levels, buckets: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard")
         schema, level_of = arrow_schema(SENT), levels.value
         for batch in (b for whole in it for b in batches(whole)):
             n = batch.num_rows
@@ -177,11 +206,7 @@ def _send(keyed: DataFrame, levels, buckets: int) -> DataFrame:
             bucket = (mix(w) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((number, bucket))
             w, number, bucket = w[order], number[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            out = []
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(w)], strict=True):
-                own, count = np.unique(number[s:e], return_counts=True)
-                out.append((int(bucket[s]), key[own].astype("<i8").tobytes(), planes(sizes[own]), f1[own].tobytes(), planes(count), w[s:e].tobytes()))
+            out = _packed(bucket, number, key, sizes, f1, w)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return keyed.select("row_key", "text").mapInArrow(run, SENT)
@@ -360,7 +385,11 @@ def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     described = materialise(describe(keyed), "sets")
     meta = described.filter("kind = 0").drop("kind")
     levels = spark.sparkContext.broadcast(frequent_levels(described))
-    tiles = materialise(_send(keyed, levels, buckets).groupBy("bucket").applyInArrow(_tiles, TILES), "tiles")
+    coarse = min(buckets, FANOUT)
+    sent = _send(keyed, levels, coarse)
+    if buckets > coarse:
+        sent = _redeal_shingles(sent, -(-buckets // coarse))
+    tiles = materialise(sent.groupBy("bucket").applyInArrow(_tiles, TILES), "tiles")
 
     near = materialise(_bound(_first_round(tiles), meta), "near")
     links = materialise(_verified(near, keyed, 4 * buckets), "links")
@@ -372,8 +401,12 @@ def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
 
     sets = meta.select("row_key", "doc_id", "n", "f1", "f2")
     reps = sets.filter("n > 0").groupBy("f1", "f2").agg(F.min("row_key").alias("rep"))
-    full = sets.join(reps, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("row_key")))
-    full = full.join(comps.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("component_key", F.coalesce("comp", "rep"))
+    # One row per class, written first: the class of a third of all documents then meets it in a
+    # plain join, whose large side is split where it is skewed.
+    classes = reps.join(comps.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", F.col("rep"), F.coalesce("comp", "rep").alias("comp"), F.lit(True).alias("some"))
+    classes = materialise(classes, "classes")
+    full = sets.withColumn("some", F.col("n") > 0).join(classes, ["f1", "f2", "some"], "left")
+    full = full.withColumns({"rep": F.coalesce("rep", "row_key"), "component_key": F.coalesce("comp", "row_key")})
     if plain:
         full = full.withColumn("component_id", F.col("component_key"))
     else:
@@ -387,8 +420,12 @@ def _bound_free(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with all columns: of each component the document with the smallest doc_id (of
-    documents with one id and text, all rows stay or go together as one of them is kept)."""
-    found = link_components(docs)
-    keep = found.filter("row_key = component_key").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    """``docs`` with all columns: of each component the document with the smallest doc_id stays (of
+    rows with equal or null ids, the first by text; of equal rows one)."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.col("doc_id").cast("long")) if ids_are_unique(docs) else numbered(docs, name)
+    found = link_components(rows.select(F.col(name).alias("doc_id"), "text"))
+    keep = found.filter("row_key = component_key").select(F.col("row_key").alias(name))
+    return rows.join(keep, name, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_schema, batches, columns, materialise
+from .common import arrow_schema, batches, columns, hold, materialise
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
@@ -131,6 +131,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_OF_DOCUMENT) -> Da
     """Pass 1: one row per document with its ids and its offset within its partition."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing", _encoders.clear)
         enc, end = encoder(tokenizer), np.array([end_id], "<u2").tobytes()
         part, off, schema = TaskContext.get().partitionId(), 0, arrow_schema(ENCODED)
         for whole in it:
@@ -157,6 +158,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence_tokens: int = S
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("cutting")
         schema = arrow_schema(PIECES)
         for batch in it:
             out: list[list] = [[] for _ in schema]

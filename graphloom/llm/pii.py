@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, columns
+from .common import arrow_schema, columns, hold
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "ssn", "account", "address")
@@ -143,6 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ``kind:start:end`` and comma-joined."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii")
         schema = arrow_schema(FOUND)
         for batch in it:
             rows = []
@@ -162,6 +163,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; all columns stay."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii")
         for batch in it:
             at = batch.schema.get_field_index("text")
             texts = [redact(t, find_spans(t)) for t in batch.column(at).to_pylist()]

@@ -10,7 +10,8 @@
 3. Marked positions meet their documents; overlapping windows merge into maximal intervals, and
    the words inside are removed.
 
-Windows are equal by 64 + log2(buckets) hash bits. The number of buckets follows the input size,
+Windows are equal by 64 + log2(coarse buckets) hash bits. Beyond ``FANOUT`` buckets the packed
+arrays are dealt in two steps, so a row always carries many entries. The number of buckets follows the input size,
 so what one bucket holds does not grow with the input; a slice is bounded in bytes.
 
 A null or empty text has no words. Documents with equal or null doc_ids stay documents of their
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BASE_A, BASE_B, arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, input_bytes, planes, with_row_key, words_of
+from .common import BASE_A, BASE_B, FANOUT, arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, hold, input_bytes, planes, redealt, with_row_key, words_of
 
 WIDTH = 20
 #: Bytes of input files per bucket, and per group of documents in the last step.
@@ -70,6 +71,7 @@ def group_column(groups: int, name: str = "row_key") -> Column:
 
 def _send(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("substrings")
         schema = arrow_schema(SENT)
         for whole in it:
             for batch in batches(whole):
@@ -99,7 +101,50 @@ def _send(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SENT)
 
 
-def _mark(groups: int):
+def _redeal_windows(sent: DataFrame, fan: int) -> DataFrame:
+    """From coarse buckets to ``fan`` fine ones each, by other bits of the hash."""
+
+    def decode(row: dict):
+        doc, pos = unpack_marks(row["docs"], row["counts"], row["positions"])
+        return row["bucket"], (doc, pos, row["hashes"]), len(doc)
+
+    def encode(coarse: int, entries: list) -> list[tuple]:
+        out = [(coarse * fan, *pack_marks(doc, pos), None) for doc, pos, h in entries if h is None]
+        known = [(doc, pos, np.frombuffer(h, "<u8")) for doc, pos, h in entries if h is not None]
+        if known:
+            doc, pos, a = map(np.concatenate, zip(*known, strict=True))
+            fine = ((a >> np.uint64(33)) % np.uint64(fan)).astype(np.int64)
+            order = np.lexsort((pos, doc, fine))
+            doc, pos, a, fine = doc[order], pos[order], a[order], fine[order]
+            starts, counts = _runs(fine)
+            out += [(coarse * fan + int(fine[s]), *pack_marks(doc[s : s + n], pos[s : s + n]), a[s : s + n].tobytes()) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+        return out
+
+    return redealt(sent, "bucket", SENT, decode, encode)
+
+
+def _by_group(group: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
+    order = np.lexsort((pos, doc, group))
+    group, doc, pos = group[order], doc[order], pos[order]
+    starts, counts = _runs(group)
+    return [(int(group[s]), *pack_marks(doc[s : s + n], pos[s : s + n])) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+
+
+def _redeal_marks(marked: DataFrame, groups: int) -> DataFrame:
+    """From coarse groups of documents to the fine ones."""
+
+    def decode(row: dict):
+        doc, pos = unpack_marks(row["docs"], row["counts"], row["positions"])
+        return row["grp"], (doc, pos), len(doc)
+
+    def encode(coarse: int, entries: list) -> list[tuple]:
+        doc, pos = map(np.concatenate, zip(*entries, strict=True))
+        return _by_group(_group_of(doc, groups), doc, pos)
+
+    return redealt(marked, "grp", MARKED, decode, encode)
+
+
+def _mark(groups: int, coarse: int):
     def run(rows: pa.Table) -> pa.Table:
         doc, pos, known, hashes = [], [], [], []
         for d, c, p, h in columns(rows, "docs", "counts", "positions", "hashes"):
@@ -119,11 +164,7 @@ def _mark(groups: int):
         pick = pick[np.lexsort((pos[pick], doc[pick], a[pick]))]
         later = pick[1:][a[pick[1:]] == a[pick[:-1]]] if len(pick) else pick
         doc, pos = np.r_[doc[later], *known[0::2]], np.r_[pos[later], *known[1::2]]
-        group = _group_of(doc, groups)
-        order = np.lexsort((pos, doc, group))
-        group, doc, pos = group[order], doc[order], pos[order]
-        starts, counts = _runs(group)
-        out = [(int(group[s]), *pack_marks(doc[s : s + n], pos[s : s + n])) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+        out = _by_group(_group_of(doc, groups) % coarse, doc, pos)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, arrow_schema(MARKED), strict=True)], schema=arrow_schema(MARKED))
 
     return run
@@ -173,7 +214,13 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_
     maximal removed intervals in words."""
     keyed, _ = with_row_key(docs)
     buckets = max(16, -(-input_bytes(keyed) // bucket_bytes))
-    marked = _send(keyed.select("row_key", "text"), width, buckets).groupBy("bucket").applyInArrow(_mark(buckets), MARKED)
+    coarse = min(buckets, FANOUT)
+    sent = _send(keyed.select("row_key", "text"), width, coarse)
+    if buckets > coarse:
+        sent = _redeal_windows(sent, -(-buckets // coarse))
+    marked = sent.groupBy("bucket").applyInArrow(_mark(buckets, coarse), MARKED)
+    if buckets > coarse:
+        marked = _redeal_marks(marked, buckets)
     grouped = keyed.withColumn("grp", group_column(buckets))
     return grouped.groupBy("grp").cogroup(marked.groupBy("grp")).applyInArrow(_apply(width), RESULT)
 

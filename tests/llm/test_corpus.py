@@ -266,7 +266,9 @@ def test_substrings_equal_brute_force(spark, rows):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, 20)
 
 
-def test_substrings_over_random_repeats(spark):
+@pytest.mark.parametrize("fanout", [4096, 4])
+def test_substrings_over_random_repeats(spark, monkeypatch, fanout):
+    monkeypatch.setattr(substrings, "FANOUT", fanout)
     rng = np.random.default_rng(5)
     passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(5)]
     rows = [(int(i), " ".join(rng.choice(passages + [f"n{i}a n{i}b"], size=rng.integers(1, 6)))) for i in rng.permutation(60)]
@@ -316,9 +318,10 @@ def near_copies(seed, n, families):
     return rows
 
 
-@pytest.mark.parametrize("small", [4, 2])
-def test_components_equal_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "fanout"), [(4, 4096), (2, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, small, fanout):
     monkeypatch.setattr(jaccard, "SMALL_TILE", small)
+    monkeypatch.setattr(jaccard, "FANOUT", fanout)
     rows = near_copies(1, 150, 9) + [(i + 1000, t) for i, t in EDGE]
     got = jaccard.link_components(docs(spark, rows).repartition(5)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute_components(rows)
@@ -330,6 +333,8 @@ def test_components_edges(spark):
     assert len(twice) == 2 * len(EDGE) + 1
     group = {r.component_key for r in twice if r.doc_id in (3, 5, None)}
     assert len(group) == 1 and len({r.row_key for r in twice}) == len(twice)
+    repeated = jaccard.one_of_each(docs(spark, EDGE + EDGE + [(None, EDGE[0][1])])).collect()
+    assert Counter(r.doc_id for r in repeated) == {None: 1, 7: 2, 8: 2, 10: 2, 11: 1, 13: 1, 15: 1}
     kept = jaccard.one_of_each(docs(spark, EDGE))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8, 10, 11, 13, 15] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
 
