@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, batches, columns, materialise, shingle_sets
+from .common import arrow_schema, batches, columns, hold, materialise, shingle_sets
 
 #: Bound of the labelled sample that the lexicon and the model are fitted on.
 TRAIN_ROWS = 20_000
@@ -42,7 +42,9 @@ STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 FUZZY_LENGTH = 5
 WINDOW = 5
 #: Words whose hit a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Rows of term counts that a worker holds before it sends them on.
+FLUSH_ROWS = 20_000
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 QUOTES = re.compile("[\"“”„«»‹›]")
@@ -187,21 +189,28 @@ def _training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
+def _term_batch(rows: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["kind", "term", "toxic", "key"])
+
+
 def _term_counts(sample: DataFrame) -> DataFrame:
     """(kind, term, toxic, support) over distinct MinHash keys of the sample's texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity terms")
+        rows: set = set()
         for batch in (b for whole in it for b in batches(whole, 1 << 20)):
             keys = [int(s[0] >> np.uint64(1)) if len(s) else 0 for s in shingle_sets(batch.column(1))]
-            rows = set()
             for key, toxic, text in zip(keys, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in set(WORD.findall((text or "").lower())):
                     if len(w) >= 3:
                         rows.add((0, w, toxic, key))
                     rows.update((1, w[:n], toxic, key) for n in STEM_LENGTHS if len(w) >= n)
-            rows = list(rows)
-            for s in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 50_000], strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["kind", "term", "toxic", "key"])
+                    if len(rows) >= FLUSH_ROWS:
+                        yield _term_batch(rows)
+                        rows = set()
+        if rows:
+            yield _term_batch(rows)
 
     return sample.mapInArrow(run, "kind int, term string, toxic int, key long").distinct().groupBy("kind", "term").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
 
@@ -254,6 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, schema = shared.value, arrow_schema(SCORED)
+        hold("toxicity", own.lexicon.seen.clear)
         for batch in (b for whole in it for b in batches(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t) for t in batch.column(1).to_pylist()], pa.float64())], schema=schema)
 
@@ -266,6 +276,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        hold("toxicity", own.lexicon.seen.clear)
         for batch in (b for whole in it for b in batches(whole)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([own.score(t) < threshold for t in texts], pa.bool_()))
