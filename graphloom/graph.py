@@ -98,6 +98,10 @@ class PropertyGraph(LookupMixin, MutationMixin, NeighbourMixin, PropertyMixin, A
         """Graphs are immutable, so a copy is the graph itself."""
         return self
 
+    def slim(self) -> PropertyGraph:
+        """Keys and ends only, for algorithms on the bare graph."""
+        return replace(self, vertices=self.vertices.select("key"), edges=self.edges.select("key", "tail", "head", "weight"))
+
     @property
     def spark(self) -> SparkSession:
         return self.vertices.sparkSession

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row, Window, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
+
+from ..functions.ranking import with_rank
 
 PROPERTIES = (
     "order", "size", "min_degree", "max_degree", "average_degree", "multiplicity", "simple", "regular", "loop", "negative_weight",
@@ -147,7 +149,7 @@ class PropertyMixin:
 
     def matrix_index(self) -> DataFrame:
         """``(i, key)``: rows and columns of the matrices, by key."""
-        return self.vertices.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias("i"))
+        return with_rank(self.vertices.select("key"), "key").select("key", (F.col("rank") - 1).alias("i"))
 
     def adjacency_matrix(self) -> DataFrame:
         """``(i, j, x)`` with x = 1, row = tail; symmetric where undirected."""

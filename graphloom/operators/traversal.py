@@ -77,8 +77,7 @@ def _peel(g, both_sides: bool) -> tuple[DataFrame | None, DataFrame, DataFrame]:
         old = v, e
         v = materialise(v.join(keys, "key", "left_anti"), "peel")
         e = materialise(e.join(keys.toDF("tail"), "tail", "left_anti").join(keys.toDF("head"), "head", "left_anti").select("tail", "head"), "peel")
-        for f in old:
-            discard(f)
+        discard(*old)
         layer += 1
 
 

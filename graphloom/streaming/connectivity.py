@@ -60,11 +60,12 @@ class OnlineConnectivity:
             inside = self._comp.join(touched, "comp", "left_semi").select(F.col("key").alias("tail"))
             again = self._edges.join(inside, "tail", "left_semi").select("key", "tail", "head")
             kept = old[3].join(inside, "tail", "left_anti").select("key", "tail", "head")
-            self._bridges = materialise(kept.unionByName(self._bridges_of(materialise(again, "again"))), "bridges")
+            again = materialise(again, "again")
+            self._bridges = materialise(kept.unionByName(self._bridges_of(again)), "bridges")
+            discard(again)
         else:
             self._bridges = materialise(old[3], "bridges")
-        for f in old:
-            discard(f)
+        discard(*old, new, comp, merged)
 
     def add_vertex(self, key) -> None:
         row = self.spark.createDataFrame([(key,)], self._vertices.schema).join(self._vertices, "key", "left_anti")
