@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, columns, materialise
+from .common import arrow_schema, bounded_batches, columns, materialise
 
 BLOCK = 4096
 #: Speaker markers of common transcript forms.
@@ -210,6 +210,7 @@ def _decode(model: RoleModel):
 
 def format_chats(turns: DataFrame, model: RoleModel) -> DataFrame:
     """``(conv_id, turn, role, content, rendered)`` of each turn of ``(conv_id, turn, text)``."""
+    bounded_batches(turns)
     ordered = _ordered(turns)
     edges = ordered.groupBy("part", "blk").applyInArrow(_edges(model), EDGES)
     cuts = edges.groupBy("conv_id").applyInArrow(_cuts(model), CUTS)

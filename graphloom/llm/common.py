@@ -34,6 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch of whole texts. Spark's default of 10,000 rows is tens of megabytes in the JVM
+#: and in Python, in each direction and for each core.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session gets batches of BATCH_ROWS rows, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == "10000":
+        conf.set(_BATCH_KEY, BATCH_ROWS)
+    return df
+
+
 def ids_are_unique(docs: DataFrame) -> bool:
     """Are all doc_ids there and different? (Reads that column only.)"""
     return docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()

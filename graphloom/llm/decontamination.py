@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, ascii_lower, batch_hashes, batch_windows, batches, hold, window_hashes, word_hashes, words_of
+from .common import arrow_schema, ascii_lower, batch_hashes, batch_windows, batches, bounded_batches, hold, window_hashes, word_hashes, words_of
 
 WIDTH = 5
 #: Containment from which an item counts as found.
@@ -103,6 +103,7 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
 
 def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``(doc_id, item_id, n_item, n_shared, containment)`` of each item found in each document."""
+    bounded_batches(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def search(block: list[tuple[int, str]]):
@@ -125,6 +126,7 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents in which no item is found, with all their columns: one narrow pass per block."""
+    bounded_batches(docs)
     for block in _blocks(items, block_shingles):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

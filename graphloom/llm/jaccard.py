@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import star_components
-from .common import FANOUT, arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, hold, ids_are_unique, input_bytes, materialise, mix, numbered, planes, redealt, shingle_sets, window_hashes, with_row_key
+from .common import FANOUT, arrow_schema, batch_hashes, batch_windows, batches, bounded_batches, columns, from_planes, hold, ids_are_unique, input_bytes, materialise, mix, numbered, planes, redealt, shingle_sets, window_hashes, with_row_key
 
 WIDTH = 5
 #: Link when NUMERATOR / DENOMINATOR of the union is shared.
@@ -379,6 +379,7 @@ def _second_round(tiles: DataFrame, comps: DataFrame, meta: DataFrame, groups: i
 def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(row_key, doc_id, n_shingles, rep, component_key, component_id)`` per document: ``rep`` is
     its class representative, the component the smallest document reachable by links."""
+    bounded_batches(docs)
     keyed, plain = with_row_key(docs)
     spark = keyed.sparkSession
     buckets = max(16, -(-input_bytes(keyed) // bucket_bytes))

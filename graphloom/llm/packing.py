@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_schema, batches, columns, hold, materialise
+from .common import arrow_schema, batches, bounded_batches, columns, hold, materialise
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
@@ -151,6 +151,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_OF_DOCUMENT) -> Da
 def pack(docs: DataFrame, tokenizer: str | None = None, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_OF_DOCUMENT) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``; ids are
     little-endian unsigned 32-bit."""
+    bounded_batches(docs)
     encoded = materialise(encode(docs, tokenizer or default_tokenizer(), end_id), "encoded")
     # One row per input partition: the only global step, and it never sees documents. The broadcast
     # side is as many rows of 16 bytes as there are input partitions.

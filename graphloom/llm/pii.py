@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, columns, hold
+from .common import arrow_schema, bounded_batches, columns, hold
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "ssn", "account", "address")
@@ -156,6 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 doc = batch.column(batch.schema.get_field_index("doc_id"))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
@@ -169,6 +170,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             texts = [redact(t, find_spans(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
+    bounded_batches(docs)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, columns, hold
+from .common import arrow_schema, bounded_batches, columns, hold
 
 KINDS = ("assign", "access", "hex")
 MAX_DECODED = 8 << 20
@@ -143,6 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 doc = batch.column(batch.schema.get_field_index("doc_id"))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BASE_A, BASE_B, FANOUT, arrow_schema, batch_hashes, batch_windows, batches, columns, from_planes, hold, input_bytes, planes, redealt, with_row_key, words_of
+from .common import BASE_A, BASE_B, FANOUT, arrow_schema, batch_hashes, batch_windows, batches, bounded_batches, columns, from_planes, hold, input_bytes, planes, redealt, with_row_key, words_of
 
 WIDTH = 20
 #: Bytes of input files per bucket, and per group of documents in the last step.
@@ -212,6 +212,7 @@ def _apply(width: int):
 def deduplicate(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, removed, kept_text)`` per document; ``removed`` lists the
     maximal removed intervals in words."""
+    bounded_batches(docs)
     keyed, _ = with_row_key(docs)
     buckets = max(16, -(-input_bytes(keyed) // bucket_bytes))
     coarse = min(buckets, FANOUT)

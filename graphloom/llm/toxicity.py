@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, batches, columns, hold, materialise, shingle_sets
+from .common import arrow_schema, batches, bounded_batches, columns, hold, materialise, shingle_sets
 
 #: Bound of the labelled sample that the lexicon and the model are fitted on.
 TRAIN_ROWS = 20_000
@@ -69,6 +69,8 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
+        # One edit leaves the first two letters of a term as they are, or the last two.
+        self.begins, self.ends = {t[:2] for t in self.fuzzy}, {t[-2:] for t in self.fuzzy}
         self.seen: dict[str, tuple[str, str] | None] = {}
 
     def drop_fuzzy(self, terms: set[str]) -> None:
@@ -103,7 +105,7 @@ class Lexicon:
             return "word", word
         if stems := [word[:n] for n in STEM_LENGTHS if n <= len(word) and word[:n] in self.stems]:
             return "stem", max(stems, key=self.stems.__getitem__)
-        if len(word) >= FUZZY_LENGTH - 1 and self.trie and (term := self.near(word)):
+        if len(word) >= FUZZY_LENGTH - 1 and (word[:2] in self.begins or word[-2:] in self.ends) and (term := self.near(word)):
             return "fuzzy", term
         return None
 
@@ -216,6 +218,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    bounded_batches(docs)
     sample = materialise(_training_rows(docs, labels, rows), "labelled")
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     t1, t0 = totals.get(1, 0), totals.get(0, 0)
@@ -259,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` of every row."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +276,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all columns, that score below the threshold."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
