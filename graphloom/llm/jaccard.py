@@ -49,6 +49,8 @@ SKETCH_SHARDS = 16
 BUCKET_BYTES = 32 << 20
 #: Tiles of up to this many classes give all their pairs at once.
 SMALL_TILE = 4
+#: Members of a tile of round two that one piece of work holds; larger tiles are cut into blocks.
+TILE_ROWS = 4096
 #: Sets compared with one pivot in a piece of work.
 PER_PIVOT = 128
 
@@ -324,10 +326,12 @@ def _verified(pairs: DataFrame, keyed: DataFrame, groups: int) -> DataFrame:
     return sent.select("work", "a", "piece", "row_key", "elements").groupBy("work").applyInArrow(verify, PAIRS)
 
 
-def second_pairs(key: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes]) -> Iterator[np.ndarray]:
-    """Pairs of a tile (sorted by size) in different components that their bitmaps leave possible."""
+def second_pairs(key: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], own: np.ndarray, block: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of a tile (sorted by size) in different components that their bitmaps leave possible,
+    at least one of them of the tile's own band; of a tile of two blocks the pairs across."""
     if len(key) < 2 or (comp == comp[0]).all():
         return
+    across = (block != block[0]).any()
     width = np.array([len(b) // 8 for b in bits])
     for words in np.unique(width).tolist():
         # Sizes within a band: the larger set's bitmap is as wide, or wider and folded.
@@ -337,7 +341,8 @@ def second_pairs(key: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list
         for i in base.tolist():
             end = int(np.searchsorted(size, DENOMINATOR * size[i] // NUMERATOR, "right"))
             j = np.arange(i + 1, end)
-            j = j[comp[j] != comp[i]]
+            fit = (comp[j] != comp[i]) & (own[j] | own[i])
+            j = j[fit & (block[j] != block[i])] if across else j[fit]
             if len(j):
                 differ = np.bitwise_count(matrix[j - base[0]] ^ matrix[i - base[0]]).sum(1, dtype=np.int64)
                 j = j[within_bound(differ, size[j] + size[i])]
@@ -359,21 +364,33 @@ def _second_round(tiles: DataFrame, comps: DataFrame, meta: DataFrame, groups: i
     members = members.join(comps.select(F.col("v").alias("row_key"), "comp"), "row_key", "left").withColumn("comp", F.coalesce("comp", "row_key"))
     members = materialise(members, "tiles")
     open_tiles = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    members = members.join(open_tiles, "token").join(meta.select("row_key", "bits"), "row_key").withColumn("work", F.pmod("token", F.lit(groups)))
+    members = materialise(members.join(open_tiles, "token"), "open")
+    # A member stands in the tile of its own size band, and with the band below, whose sets may be
+    # linked with it. Tiles beyond TILE_ROWS are cut into blocks, and each pair of blocks is a tile.
+    band = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR)) + 1e-9).cast("long")
+    banded = members.withColumn("b", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))))
+    banded = banded.select("token", "row_key", "n", "comp", "b.band", "b.own")
+    loads = banded.groupBy("token", "band").agg(F.count("*").alias("load"), F.bool_or("own").alias("some"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    loads = loads.filter("some and low < high").select("token", "band", F.ceil(F.col("load") / TILE_ROWS).cast("int").alias("blocks"))
+    dealt = banded.join(loads, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("row_key"), F.col("blocks")).cast("int"))
+    with_each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
+    dealt = dealt.withColumn("p", F.explode(with_each)).join(meta.select("row_key", "bits"), "row_key")
+    groups = max(groups, members.count() // TILE_ROWS)
+    dealt = dealt.select(F.pmod(F.xxhash64("token", "band", "p.i", "p.j"), F.lit(groups)).alias("work"), F.xxhash64("token", "band", "p.i", "p.j").alias("tile"), "row_key", "n", "comp", "own", "block", "bits")
 
     def compare(rows: pa.Table) -> pa.Table:
-        token, key, size, comp = (rows.column(c).to_numpy() for c in ("token", "row_key", "n", "comp"))
-        bits = rows.column("bits").to_pylist()
-        order = np.lexsort((key, size, token))
-        token, key, size, comp, bits = token[order], key[order], size[order], comp[order], [bits[i] for i in order.tolist()]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]).tolist()
+        tile, key, size, comp, block = (rows.column(c).to_numpy() for c in ("tile", "row_key", "n", "comp", "block"))
+        own, bits = np.array(rows.column("own").to_pylist(), bool), rows.column("bits").to_pylist()
+        order = np.lexsort((key, size, tile))
+        tile, key, size, comp, own, block, bits = tile[order], key[order], size[order], comp[order], own[order], block[order], [bits[i] for i in order.tolist()]
+        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]).tolist()
         found: list[np.ndarray] = []
         for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-            found += second_pairs(key[s:e], size[s:e], comp[s:e], bits[s:e])
+            found += second_pairs(key[s:e], size[s:e], comp[s:e], bits[s:e], own[s:e], block[s:e])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow_schema(PAIRS))
 
-    return members.select("work", "token", "row_key", "n", "comp", "bits").groupBy("work").applyInArrow(compare, PAIRS).distinct()
+    return dealt.groupBy("work").applyInArrow(compare, PAIRS).distinct()
 
 
 def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

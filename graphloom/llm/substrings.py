@@ -116,6 +116,14 @@ def _redeal_windows(sent: DataFrame, fan: int) -> DataFrame:
             fine = ((a >> np.uint64(33)) % np.uint64(fan)).astype(np.int64)
             order = np.lexsort((pos, doc, fine))
             doc, pos, a, fine = doc[order], pos[order], a[order], fine[order]
+            # Of a window that many slices have sent only the first goes on with its hash.
+            by_hash = np.argsort(a, kind="stable")
+            again = np.zeros(len(a), bool)
+            again[by_hash[1:]] = a[by_hash[1:]] == a[by_hash[:-1]]
+            if again.any():
+                seen = np.lexsort((pos[again], doc[again]))
+                out.append((coarse * fan, *pack_marks(doc[again][seen], pos[again][seen]), None))
+                doc, pos, a, fine = doc[~again], pos[~again], a[~again], fine[~again]
             starts, counts = _runs(fine)
             out += [(coarse * fan + int(fine[s]), *pack_marks(doc[s : s + n], pos[s : s + n]), a[s : s + n].tobytes()) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
         return out

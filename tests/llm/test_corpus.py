@@ -320,8 +320,9 @@ def near_copies(seed, n, families):
     return rows
 
 
-@pytest.mark.parametrize(("small", "fanout"), [(4, 4096), (2, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, small, fanout):
+@pytest.mark.parametrize(("small", "fanout", "tile"), [(4, 4096, 4096), (2, 4, 5)])
+def test_components_equal_brute_force(spark, monkeypatch, small, fanout, tile):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
     monkeypatch.setattr(jaccard, "SMALL_TILE", small)
     monkeypatch.setattr(jaccard, "FANOUT", fanout)
     rows = near_copies(1, 150, 9) + [(i + 1000, t) for i, t in EDGE]
