@@ -30,7 +30,7 @@ from .common import BASE_A, BASE_B, FANOUT, arrow_schema, batch_hashes, batch_wi
 
 WIDTH = 20
 #: Bytes of input files per bucket, and per group of documents in the last step.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 SENT = "bucket long, docs binary, counts binary, positions binary, hashes binary"
 MARKED = "grp long, docs binary, counts binary, positions binary"
