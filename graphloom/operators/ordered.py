@@ -53,9 +53,10 @@ class OrderedMap:
         ranged = with_rank(both, "k", "kind", name="at").withColumn("part", F.floor(F.col("at") / 100_000))
         heads = ranged.filter("kind = 1").groupBy("part").agg(F.min(F.struct("at", "k", "v")).alias("head"))
         following = ranged.select("part").distinct().join(heads, "part", "left")
-        following = following.select("part", F.first("head", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-        within = Window.partitionBy("part").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-        found = ranged.withColumn("own", F.first(F.when(F.col("kind") == 1, F.struct("at", "k", "v")), ignorenulls=True).over(within)).filter("kind = 0")
+        following = following.select("part", F.last("head", ignorenulls=True).over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+        # Backwards, as a frame that only grows is linear and one that shrinks is not.
+        within = Window.partitionBy("part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+        found = ranged.withColumn("own", F.last(F.when(F.col("kind") == 1, F.struct("at", "k", "v")), ignorenulls=True).over(within)).filter("kind = 0")
         found = found.join(F.broadcast(following), "part").withColumn("hit", F.coalesce("own", "later"))
         return found.select("probe", F.col("hit.k").alias("k"), F.col("hit.v").alias("v"), F.coalesce(F.col("hit.k") == F.col("probe"), F.lit(False)).alias("exact"))
 

@@ -11,6 +11,7 @@ from ..operators import colouring, flow, matching, paths, spanning, traversal
 from ..operators.forest import DisjointSets, ParentForest, lowest_common_ancestors
 from ..operators.ordered import IndexedArray, OrderedMap, PriorityTable
 from ..operators.spatial import BoxTable, PrefixMap
+from ..scratch import materialise
 from ..sources import documents, drawing, generators
 from ..streaming.connectivity import OnlineConnectivity
 from . import projections as P
@@ -330,7 +331,8 @@ def disjoint_paths(spark, sf):
 @query(f"WITH {SUPPLY} SELECT count(DISTINCT tail) AS matched, count(DISTINCT tail) AS cover, 0 AS violations FROM e")
 def bipartite_matching(spark, sf):
     g = P.supply(spark, sf)
-    m, c = matching.bipartite_matching(g), matching.minimum_vertex_cover(g)
+    g = g.with_(edges=materialise(g.edges, "supply"))
+    m, c = materialise(matching.bipartite_matching(g), "matching"), materialise(matching.minimum_vertex_cover(g), "cover")
     bare = g.edges.join(c.toDF("tail"), "tail", "left_anti").join(c.toDF("head"), "head", "left_anti").count()
     twice = m.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count().filter("count > 1").count()
     return spark.createDataFrame([(m.count(), c.count(), bare + twice)], "matched long, cover long, violations long")
