@@ -1,9 +1,9 @@
 """Every registered query of the graph engine against its SQL oracle, on the smallest tables."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -12,7 +12,7 @@ from graphloom.plans import registry
 
 def canonical(frame):
     def cell(x):
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if pd.isna(x):
             return "~"
         if isinstance(x, bool):
             return str(x)
