@@ -8,6 +8,9 @@ t * (s / 2) / (2 s) = 0.2 with it; with BANDS = 40 bands of one MinHash row each
 they share a band is at least 1 - 0.8 ** 40 = 0.9998 (and 1 - 0.6 ** 40 from half a window on).
 Windows and templates that share a band are verified by exact shingle containment.
 
+A template shorter than 5 words is one shingle of its own length, and texts are shingled at that
+length too; its windows are made, banded and verified like the others. A template without words is an error.
+
 Only windows that hold some template shingle are hashed: others contain nothing of any template.
 
 The template table is a parameter of bounded size (``MAX_TEMPLATE_SHINGLES``), not data.
@@ -42,15 +45,21 @@ TEMPLATES = {
     "all-rights-reserved": "Unauthorized copying of this file via any medium is strictly prohibited",
 }
 
+#: Further wordings of licenses, too short for a shingle of WIDTH words.
+NOTICES = {"all-rights-reserved": "All rights reserved"}
+
 _SIGNS = "\t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*#/\\|_=+-"
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the 5-word shingles of a text, in order."""
-    plain = F.btrim(F.translate(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " " * len(_SIGNS)), F.lit(" "))
-    words = F.split(plain, " +")
-    return let(words, lambda w: F.when(F.size(w) < WIDTH, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(w) - WIDTH + 1), lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(WIDTH))))))
+def words(text: Column) -> Column:
+    """The words of a text; one empty word for a text without words."""
+    return F.split(F.btrim(F.translate(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " " * len(_SIGNS)), F.lit(" ")), " +")
+
+
+def shingles(w: Column, width: int = WIDTH) -> Column:
+    """Hashes of the ``width``-word shingles of an array of words, in order."""
+    return F.when(F.size(w) < width, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(width)))))
 
 
 def minhash(values: Column) -> Column:
@@ -62,30 +71,31 @@ def minhash(values: Column) -> Column:
     return F.array(*(least(seed) for seed in range(BANDS)))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``(license, size, n_template, elements, bands)`` of each template."""
-    total = sum(len(re.findall(r"\S+", t)) for t in templates.values())
+def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """``(license, width, size, n_template, elements, bands)`` of each template."""
+    total = sum(len(re.findall(r"\S+", t)) for _, t in templates)
     if total > MAX_TEMPLATE_SHINGLES:
         raise ValueError(f"{total} words of templates; the bound is {MAX_TEMPLATE_SHINGLES}")
-    table = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    table = table.select("license", F.array_distinct(shingles(F.col("text"))).alias("elements")).filter(F.size("elements") > 0)
-    table = table.withColumn("n_template", F.size("elements"))
+    if empty := [name for name, t in templates if not t.translate(str.maketrans(_SIGNS, " " * len(_SIGNS))).strip(" ")]:
+        raise ValueError(f"templates without words: {empty}")
+    table = spark.createDataFrame(sorted(templates), "license string, text string").withColumn("words", words(F.col("text")))
+    table = table.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
+    own = F.coalesce(*(F.when(F.col("width") == k, shingles(F.col("words"), k)) for k in range(1, WIDTH + 1)))
+    table = table.select("license", "width", F.array_distinct(own).alias("elements")).withColumn("n_template", F.size("elements"))
     size = F.pow(F.lit(2), F.ceil(F.log2("n_template"))).cast("int")
     return table.withColumn("size", size).withColumn("bands", minhash(F.col("elements")))
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, license, n_template, n_shared, containment, first_shingle)``: the best window of
-    each license found in each document."""
+    each license found in each document (``templates`` None: TEMPLATES and NOTICES)."""
     spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES)
-    # Bounded by MAX_TEMPLATE_SHINGLES: a literal of the plan.
-    rows = known.select("license", "size", "n_template", "elements").collect()
-    every = F.array(*(F.lit(x) for x in sorted({x for r in rows for x in r["elements"]})))
-    sizes = sorted({r["size"] for r in rows})
-
-    def covering(h: Column, common: Column) -> Column:
-        """The windows of all sizes that hold a template shingle. Window k of size s begins at
+    known = template_table(spark, list(templates.items()) if templates else [*TEMPLATES.items(), *NOTICES.items()])
+    # Bounded by MAX_TEMPLATE_SHINGLES: literals of the plan.
+    rows = known.select("width", "size", "elements").collect()
+
+    def covering(h: Column, common: Column, sizes: list[int]) -> Column:
+        """The windows of these sizes that hold a template shingle. Window k of size s begins at
         k * s and ends 2 s later, so position i is in windows i / s and i / s - 1."""
         hits = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(common, x), i)), lambda i: i.isNotNull())
 
@@ -97,7 +107,14 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         return let(hits, lambda p: F.concat(*(of_size(p, s) for s in sizes)))
 
     none = F.array().cast("array<struct<size:int,start:int,window:array<bigint>>>")
-    found = let(shingles(F.col("text")), lambda h: let(F.array_intersect(h, every), lambda c: F.when(F.size(c) == 0, none).otherwise(covering(h, c))))
+
+    def of_width(w: Column, width: int) -> Column:
+        every = F.array(*(F.lit(x) for x in sorted({x for r in rows if r["width"] == width for x in r["elements"]})))
+        sizes = sorted({r["size"] for r in rows if r["width"] == width})
+        return let(shingles(w, width), lambda h: let(F.array_intersect(h, every), lambda c: F.when(F.size(c) == 0, none).otherwise(covering(h, c, sizes))))
+
+    widths = sorted({r["width"] for r in rows})
+    found = let(words(F.col("text")), lambda w: F.concat(*(of_width(w, k) for k in widths)))
     windows = docs.select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.*")
     banded = windows.select("doc_id", "size", "start", "window", F.posexplode(minhash(F.col("window"))).alias("band", "value"))
     keys = known.select("license", "size", "n_template", "elements", F.posexplode("bands").alias("band", "value"))

@@ -439,6 +439,17 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.find_licenses(docs(spark, [])).collect() == []
 
 
+def test_short_notices_are_found(spark):
+    rows = [(1, "x " * 40 + "All rights\nreserved. " + "y " * 40), (2, "(all rights reserved)"), (3, "all rights, mostly reserved"), (4, None), (5, "reserved all rights"), (6, "some rights reserved " * 9)]
+    got = {(r.doc_id, r.license, r.n_template, r.n_shared) for r in licenses.find_licenses(docs(spark, rows)).collect()}
+    assert got == {(1, "all-rights-reserved", 1, 1), (2, "all-rights-reserved", 1, 1)}
+    own = {"one": "Proprietary!", "two": "Some Rights", "four": "rights reserved some rights", "five": "rights reserved some rights reserved"}
+    found = {(r.doc_id, r.license) for r in licenses.find_licenses(docs(spark, [*rows, (7, "proprietary")]), own).collect()}
+    assert found == {(7, "one"), (6, "two"), (6, "four"), (6, "five")}
+    with pytest.raises(ValueError):
+        licenses.find_licenses(docs(spark, rows), {"none": "..."})
+
+
 # -- chat ----------------------------------------------------------------------------------------
 
 
