@@ -153,6 +153,24 @@ def test_layers_unwrap_and_map_back():
     assert secrets.find_secrets(loop) == ([], [])
 
 
+def b64(data):
+    return base64.b64encode(data.encode() if isinstance(data, str) else data).decode()
+
+
+def deep_kinds(text):
+    return Counter(k for k, *_ in secrets.find_secrets(text)[1])
+
+
+def test_compressed_stretches_are_scanned_to_their_end():
+    long = "x" + "é, " * 3_000_000 + "password=hunter2hunter2, " + b64("token: abcdefghijk")
+    want = {"base64>gzip>assign": 1, "base64>gzip>base64>assign": 1}
+    assert deep_kinds(b64(gzip.compress(long.encode()))) == want and deep_kinds(b64(gzip.compress(long[1:].encode()))) == want
+    members = gzip.compress(b"nothing, ") + b"\0\0" + gzip.compress(b"password=hunter2hunter2")
+    assert deep_kinds(b64(members)) == {"base64>gzip>assign": 1}
+    assert deep_kinds(gzip.compress(b"token=abcdefgh, ")[:-8].hex() + "00" * 8) == {"hex>gzip>assign": 1}
+    assert deep_kinds(b64(zlib.compress(b"0" * (24 << 20)))) == {"base64>zlib>hex": 1}
+
+
 def test_secrets_query(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op9_secrets"](spark, sf).collect()}
     for i, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
