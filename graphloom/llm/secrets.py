@@ -5,9 +5,11 @@ Each layer of a text is scanned with the detectors; then every encoded stretch i
 the bytes are zlib or gzip with all their members, until no layer gives a new one. Layers are bytes, as
 all patterns are ASCII; one that was not compressed is dropped if it is not printable UTF-8.
 
-Base findings are those of the text itself. Findings of deeper layers have the path of their decoders in
-front of the kind, ``base64>assign``; their span is the stretch of the original text that holds what
-was decoded, and those of one kind in it are one.
+Each layer maps its positions to the layer it came from: escapes by character, base64 by group of 4,
+hexadecimal by byte. What was compressed maps to its whole stretch. Base findings are those of the text
+itself. Findings of deeper layers have the path of their decoders in front of the kind,
+``base64>assign``. One that another layer has shown at the same place with the same text is not
+repeated; several in one compressed stretch have equal spans and are listed one by one.
 
 Null or empty texts have no findings. Nothing is bounded: a layer beyond ``HELD`` bytes is kept in a
 temporary file and scanned from there. A compressed layer equal to one it came from is not taken again.
@@ -268,7 +270,11 @@ def _scan(data: Data, path: str, outer: tuple[int, int] | None, above: frozenset
         data, how, origin = work.popleft()
 
         def at(s: int, e: int) -> tuple[int, int]:
-            return origin or (s, e)
+            link = origin
+            while link:
+                span, link = link
+                s, e = span(s, e)
+            return s, e
 
         own = _own_findings(data)
         first = own if first is None else first
@@ -288,10 +294,9 @@ def _scan(data: Data, path: str, outer: tuple[int, int] | None, above: frozenset
             seen.add((place, content))
             more = f"{how}>{more}" if how else more
             if span is not None:
-                work.append((inner, more, place))
+                work.append((inner, more, (span, origin)))
             elif content not in above:
                 _scan(inner, more, outer or place, above | {content}, deep)
-    deep[:] = sorted(set(deep))
     return first
 
 

@@ -171,6 +171,19 @@ def test_compressed_stretches_are_scanned_to_their_end():
     assert deep_kinds(b64(zlib.compress(b"0" * (24 << 20)))) == {"base64>zlib>hex": 1}
 
 
+def test_findings_of_layers_are_kept_apart():
+    lines = [f"password={i:02d}hunter2x," for i in range(20)]
+    text = b64("\n".join(lines))
+    got = secrets.find_secrets(f"é ({text})")[1]
+    assert [k for k, *_ in got] == ["base64>assign"] * 20
+    for i, (_, s, e) in enumerate(got):
+        group = f"é ({text})"[s:e]
+        assert (s - 3) % 4 == 0 and len(group) <= 32 and lines[i][:-1].encode() in base64.b64decode(group)
+    assert secrets.find_secrets(b64(gzip.compress("\n".join(lines).encode())))[1].count(("base64>gzip>assign", 0, len(b64(gzip.compress("\n".join(lines).encode()))))) == 20
+    url = "a%20b%20token%3Dabcdefgh%20c%20secret%3dabcdefgh%20"
+    assert [url[s:e] for _, s, e in secrets.find_secrets(url)[1]] == ["token%3Dabcdefgh", "secret%3dabcdefgh"]
+
+
 def test_secrets_query(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op9_secrets"](spark, sf).collect()}
     for i, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
