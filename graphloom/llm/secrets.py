@@ -2,8 +2,8 @@
 
 Each layer of a text is scanned with the detectors; then every encoded stretch in it - URL escapes,
 ``\\u`` escapes, base64, hexadecimal bytes - is unwrapped, and decompressed where
-the bytes are zlib or gzip with all their members, until no layer gives a new one. Layers are bytes, as
-all patterns are ASCII; one that was not compressed is dropped if it is not printable UTF-8.
+the bytes are zlib or gzip with all their members, until no layer gives a new one. Layers are bytes: all
+patterns are ASCII, so bytes that are no UTF-8 or not printable hide nothing.
 
 Each layer maps its positions to the layer it came from: escapes by character, base64 by group of 4,
 hexadecimal by byte. What was compressed maps to its whole stretch. Base findings are those of the text
@@ -254,13 +254,6 @@ def _layers(data: Data) -> Iterator[tuple[int, int, str, Data, Span | None]]:
             yield s, e, f"hex>{got[0]}", got[1], None
 
 
-def _printable(data: Data) -> bool:
-    try:
-        return all(c.isprintable() or c in "\t\n\r" for c in bytes(data).decode())
-    except UnicodeDecodeError:
-        return False
-
-
 def _scan(data: Data, path: str, outer: tuple[int, int] | None, above: frozenset, deep: list) -> list[tuple[int, int, int]]:
     """Own findings of a text or decompressed layer. Those of the layers in it go to ``deep``, and its
     own where there is a ``path``; ``outer`` is the stretch of the text that a decompressed one has."""
@@ -286,8 +279,6 @@ def _scan(data: Data, path: str, outer: tuple[int, int] | None, above: frozenset
                 if how:
                     deep.append((f"{how}>{KINDS[k]}", *(outer or place)))
         for s, e, more, inner, span in _layers(data):
-            if span is not None and not _printable(inner):
-                continue
             place, content = at(s, e), _digest(inner, 0, len(inner))
             if (place, content) in seen:
                 continue

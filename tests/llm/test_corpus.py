@@ -184,6 +184,14 @@ def test_findings_of_layers_are_kept_apart():
     assert [url[s:e] for _, s, e in secrets.find_secrets(url)[1]] == ["token%3Dabcdefgh", "secret%3dabcdefgh"]
 
 
+def test_layers_with_any_bytes_are_scanned():
+    secret = "password=hunter2hunter2"
+    for text in (quote("\u00a0" + secret), quote(secret + " \u200b"), "%E9%20" + quote(secret), quote("\ufeff\f\0" + secret)):
+        assert deep_kinds(text) == {"url>assign": 1}, text
+    assert deep_kinds(b64(b"\x00\xff\xe9 " + secret.encode())) == {"base64>assign": 1}
+    assert deep_kinds(b64("\0\ufeff " + b64(secret))) == {"base64>base64>assign": 1}
+
+
 def test_secrets_query(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op9_secrets"](spark, sf).collect()}
     for i, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
