@@ -1,10 +1,14 @@
 """Secret scan with a recursive decoding worklist.
 
 Each layer of a text is scanned with the detectors; then every encoded stretch in it - URL escapes,
-``\\u`` escapes, base64, hexadecimal bytes - is unwrapped, and decompressed where
+``\\u`` escapes, base64 (also over line breaks), hexadecimal bytes - is unwrapped, and decompressed where
 the bytes are zlib or gzip with all their members, until no layer gives a new one. Layers are bytes: all
 patterns are ASCII, so bytes that are no UTF-8 or not printable hide nothing.
 
+Runs of characters that a pattern can span are rescanned with their URL or ``\\u`` escapes replaced in
+place. Base64 over several lines is decoded line by line and as a whole, from the first line of each
+alignment modulo 4.
+
 Each layer maps its positions to the layer it came from: escapes by character, base64 by group of 4,
 hexadecimal by byte. What was compressed maps to its whole stretch. Base findings are those of the text
 itself. Findings of deeper layers have the path of their decoders in front of the kind,
@@ -42,13 +46,15 @@ _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_PERCENT_RUN = re.compile(rb"(?:[A-Za-z0-9_.~+/=:&?-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=:&?-]*")
-_UNICODE_RUN = re.compile(rb"[A-Za-z0-9_.=:\"' -]*(?:\\u[0-9A-Fa-f]{4}[A-Za-z0-9_.=:\"' -]*)+")
+#: Runs of what a detector or a stretch can go over.
+_RUN = re.compile(rb"[A-Za-z0-9+/_.=\"' :\t\r\n%\\-]+")
 _PERCENT = re.compile(rb"%([0-9A-Fa-f]{2})")
 _UNICODE = re.compile(rb"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
 #: URL-escaped gzip or zlib data.
 _PACKED = re.compile(rb"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2})(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/=:&!*'()@,;$-]++)*+")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
 _HEXBYTES = re.compile(rb"[0-9A-Fa-f]{24,}")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 
@@ -233,16 +239,31 @@ def _layers(data: Data) -> Iterator[tuple[int, int, str, Data, Span | None]]:
     layer; compressed data have no map."""
     escapes = [(name, pattern, decode) for name, sign, pattern, decode in (("url", b"%", _PERCENT, _percent), ("unicode", b"\\u", _UNICODE, _unicode)) if data.find(sign) >= 0 and pattern.search(data)]
     if escapes:
-        for name, pattern, decode in escapes:
-            for m in (_PERCENT_RUN if name == "url" else _UNICODE_RUN).finditer(data):
-                inner, span = _replaced(m.group(), pattern, decode)
-                yield m.start(), m.end(), name, inner, lambda s, e, at=m.start(), span=span: tuple(at + x for x in span(s, e))
+        for m in _RUN.finditer(data):
+            for name, pattern, decode in escapes:
+                if pattern.search(data, m.start(), m.end()):
+                    inner, span = _replaced(m.group(), pattern, decode)
+                    yield m.start(), m.end(), name, inner, lambda s, e, at=m.start(), span=span: tuple(at + x for x in span(s, e))
         if escapes[0][0] == "url":
             for m in _PACKED.finditer(data):
                 if got := _unpacked(lambda m=m: [_PERCENT.sub(_percent, m.group())], [0]):
                     yield m.start(), m.end(), f"url>{got[0]}", got[1], None
+    wrapped = []
+    if data.find(b"\n") >= 0:
+        for m in _WRAPPED.finditer(data):
+            if m.end() - m.start() > 16:
+                wrapped.append(m.span())
+                lines = [(x.start(), x.end() - x.group().count(b"=")) for x in _LINE.finditer(data, m.start(), m.end())]
+                yield from _base64_layers(data, lines, m.end())
+    at = 0
     for m in _BASE64.finditer(data):
-        yield from _base64_layers(data, [(m.start(), m.end() - m.group().count(b"="))], m.end())
+        while at < len(wrapped) and wrapped[at][1] <= m.start():
+            at += 1
+        if at == len(wrapped) or m.start() < wrapped[at][0]:
+            stop = m.end()
+            while data[stop - 1] == 61:
+                stop -= 1
+            yield from _base64_layers(data, [(m.start(), stop)], m.end())
     for m in _HEXBYTES.finditer(data):
         s, e = m.start(), m.end() - (m.end() - m.start()) % 2
 

@@ -192,6 +192,23 @@ def test_layers_with_any_bytes_are_scanned():
     assert deep_kinds(b64("\0\ufeff " + b64(secret))) == {"base64>base64>assign": 1}
 
 
+def test_stretches_go_over_line_breaks_and_context():
+    secret, words = "password=hunter2hunter2", "some words, " * 20
+    for width in (60, 71, 76):
+        for payload, how in ((f"{words}{secret}, {words}", "base64"), (zlib.compress(bytes(range(256)) + f", {secret}, ".encode()), "base64>zlib")):
+            code = b64(payload)
+            for newline in ("\n", "\r\n"):
+                text = "Key" + newline + newline.join(code[i : i + width] for i in range(0, len(code), width))
+                got = [text[s:e] for k, s, e in secrets.find_secrets(text)[1] if k == f"{how}>assign"]
+                whole = [b"hunter2hunter2" in base64.b64decode("".join(x.split())) for x in got if how == "base64"]
+                assert got and (how != "base64" or any(whole)), (width, text)
+    tail = b64("a" * 57 + " token=abcdef1")
+    assert deep_kinds(tail[:76] + "\n" + tail[76:])["base64>assign"] == 1
+    assert deep_kinds("\\u0070assword=ab/cdefghij, x") == {"unicode>assign": 1}
+    assert deep_kinds("pass%77ord = 'ab/cdefgh'") == {"url>assign": 1} and deep_kinds("%70ass\\u0077ord: abcdefgh") == {"url>unicode>assign": 1}
+    assert deep_kinds("token=abcdefgh %41") == {}
+
+
 def test_secrets_query(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op9_secrets"](spark, sf).collect()}
     for i, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
