@@ -4,6 +4,10 @@ States are the roles; a turn's observation is its speaker marker (``User:``, ``#
 its length class, its number of lines and whether it asks. Probabilities are counts with one added,
 from labelled turns. The most likely roles of each conversation are found by Viterbi.
 
+A text is first cut before each of its lines that begins with a speaker marker, so a transcript of
+several turns in one text gives one row for each (``piece`` counts them). Labelled rows that are learned
+from count as one turn each. Any number of roles is learned.
+
 A conversation of any length is one chain, so the chain is cut: turns are sorted by (conv_id, turn,
 text) into range partitions and numbered blocks of ``BLOCK`` turns. Each block reports, for its first
 and last conversation, the best score from each entering to each leaving role (a small matrix);
@@ -32,13 +36,13 @@ BLOCK = 4096
 MARKERS = {"user": "user", "human": "user", "customer": "user", "me": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "agent": "assistant", "system": "system", "tool": "tool"}
 _MARKER = re.compile(r"^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)[*]*\s*", re.I)
 _MARKER_SQL = r"(?i)^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)"
-MAX_ROLES = 8
+_TURN_START = re.compile(r"^[^\S\n]*[#*>\[<| \t]*(?:" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*[^\S\n]*(?::|\n)", re.I | re.M)
 LENGTHS, LINES = 20, 4
 
-TURNS = "part int, blk long, idx long, conv_id long, turn long, text string"
+TURNS = "part int, blk long, idx long, conv_id long, turn long, piece long, text string"
 EDGES = "conv_id long, part int, blk long, side int, through array<double>, fresh array<double>"
 CUTS = "part int, blk long, side int, enter int, leave int"
-DECODED = "conv_id long, turn long, role string, content string, rendered string"
+DECODED = "conv_id long, turn long, piece long, role string, content string, rendered string"
 
 
 def observation(text: str | None) -> tuple[str, int, int, int]:
@@ -49,6 +53,22 @@ def observation(text: str | None) -> tuple[str, int, int, int]:
     return MARKERS[m.group(1).lower()] if m else "", min(LENGTHS - 1, n.bit_length()), min(LINES - 1, text.count("\n")), int(text.rstrip().endswith("?"))
 
 
+def pieces(text: str | None) -> list[str | None]:
+    """A text cut before each line with a speaker marker; what is before the first is a turn if not blank."""
+    starts = [m.start() for m in _TURN_START.finditer(text or "")]
+    if starts and text[: starts[0]].strip():
+        starts.insert(0, 0)
+    if len(starts) < 2:
+        return [text]
+    out = []
+    for s, e in zip([0, *starts[1:]], [*starts[1:], len(text)], strict=True):
+        piece = text[s:e]
+        # The line break before the next turn is of neither, unless a marker ends with it.
+        cut = piece.removesuffix("\n") if e < len(text) else piece
+        out.append(cut if bool(_MARKER.match(cut)) == bool(_MARKER.match(piece)) else piece)
+    return out
+
+
 class RoleModel:
     """Log probabilities: start[s], move[s, t], and per feature a table by state."""
 
@@ -65,9 +85,9 @@ class RoleModel:
 
 def fit(turns: DataFrame) -> RoleModel:
     """Counts from labelled turns (``conv_id, turn, role, text``): aggregated where the rows are;
-    what reaches the driver is a table of at most MAX_ROLES roles by a few classes."""
+    what reaches the driver is a table of the roles by a few classes, and one of their pairs."""
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text")).filter("role is not null")
-    roles = sorted(r.role for r in rows.groupBy("role").count().orderBy(F.desc("count"), "role").limit(MAX_ROLES).collect()) or ["assistant", "system", "user"]
+    roles = sorted(r.role for r in rows.select("role").distinct().collect()) or ["assistant", "system", "user"]
     k = len(roles)
     number = {r: i for i, r in enumerate(roles)}
     length = F.when(F.length("text") == 0, 0).otherwise(F.least(F.lit(LENGTHS - 1), F.floor(F.log2(F.greatest(F.length("text"), F.lit(1)))) + 1)).cast("int")
@@ -76,9 +96,8 @@ def fit(turns: DataFrame) -> RoleModel:
     for feature in ("marker", "length", "lines", "asks"):
         counts: dict = {}
         for r in seen.groupBy("role", feature).count().collect():
-            if r.role in number:
-                value = MARKERS.get(r[feature], "") if feature == "marker" else r[feature]
-                counts.setdefault(value, np.zeros(k))[number[r.role]] += r["count"]
+            value = MARKERS.get(r[feature], "") if feature == "marker" else r[feature]
+            counts.setdefault(value, np.zeros(k))[number[r.role]] += r["count"]
         total = sum(counts.values(), np.zeros(k)) + len(counts) + 1
         emit.append({v: np.log((c + 1) / total) for v, c in counts.items()} | {None: np.log(1 / total)})
     # A marker names its speaker whatever the labelled turns look like.
@@ -89,17 +108,15 @@ def fit(turns: DataFrame) -> RoleModel:
     start, move = np.ones(k), np.ones((k, k))
     first = rows.groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"))
     for r in first.groupBy("role").count().collect():
-        if r.role in number:
-            start[number[r.role]] += r["count"]
+        start[number[r.role]] += r["count"]
     a, b = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before")), rows.select("conv_id", "turn", "role")
     for r in a.join(b, ["conv_id", "turn"]).groupBy("before", "role").count().collect():
-        if r.before in number and r.role in number:
-            move[number[r.before], number[r.role]] += r["count"]
+        move[number[r.before], number[r.role]] += r["count"]
     return RoleModel(roles, np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), emit)
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
-    """Turns sorted into range partitions, with partition, block and position."""
+    """Turns sorted into range partitions and cut into pieces, with partition, block and position."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("conv_id", "turn", "h").sortWithinPartitions("conv_id", "turn", "h", "text").drop("h")
@@ -107,10 +124,14 @@ def _ordered(turns: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in it:
-            n = batch.num_rows
+            cut = [pieces(text) for (text,) in columns(batch, "text")]
+            row = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+            n = len(row)
             idx = np.arange(at, at + n, dtype=np.int64)
             at += n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(idx // BLOCK), pa.array(idx), *batch.columns], schema=arrow_schema(TURNS))
+            number = pa.array([i for x in cut for i in range(len(x))], pa.int64())
+            conv, turn = (batch.column(i).take(pa.array(row)) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(idx // BLOCK), pa.array(idx), conv, turn, number, pa.array([t for x in cut for t in x], pa.string())], schema=arrow_schema(TURNS))
 
     return materialise(rows.mapInArrow(run, TURNS), "turns")
 
@@ -203,13 +224,13 @@ def _decode(model: RoleModel):
             for i, state in enumerate(viterbi(scores[s:e], model, *fixed.get(side, (-1, -1))), s):
                 out.append((model.roles[state], *render(model.roles[state], texts[i])))
         schema = arrow_schema(DECODED)
-        return pa.Table.from_arrays([rows.column("conv_id"), rows.column("turn"), *(pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * 3))], schema=schema)
+        return pa.Table.from_arrays([rows.column("conv_id"), rows.column("turn"), rows.column("piece"), *(pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * 3))], schema=schema)
 
     return run
 
 
 def format_chats(turns: DataFrame, model: RoleModel) -> DataFrame:
-    """``(conv_id, turn, role, content, rendered)`` of each turn of ``(conv_id, turn, text)``."""
+    """``(conv_id, turn, piece, role, content, rendered)`` of each turn in the texts of ``(conv_id, turn, text)``."""
     bounded_batches(turns)
     ordered = _ordered(turns)
     edges = ordered.groupBy("part", "blk").applyInArrow(_edges(model), EDGES)

@@ -540,6 +540,21 @@ def test_chat_edges(spark, turns):
     assert chat.fit(turns.limit(0)).roles == ["assistant", "system", "user"]
 
 
+def test_transcripts_are_cut_into_turns(spark, turns):
+    text = "Well then\nUser: hi?\nmore of it\n### Assistant: ok\nUSER\nand now?\n\n**Bot:** yes, the agent: said so"
+    assert chat.pieces("\n User: hi\nyou") == ["\n User: hi\nyou"] and chat.pieces(None) == [None] and chat.pieces("") == [""]
+    rows = spark.createDataFrame([(1, 0, "User: a?"), (1, 1, text), (1, 2, "User: b?"), (2, 0, None)], "conv_id long, turn long, text string")
+    got = sorted((tuple(r)[:5] for r in chat.format_chats(rows, chat.fit(turns)).collect()), key=str)
+    assert [x[2:] for x in got if x[:2] == (1, 1)][1:] == [(1, "user", "hi?\nmore of it"), (2, "assistant", "ok"), (3, "user", "and now?"), (4, "assistant", "yes, the agent: said so")]
+    assert len(got) == 8 and [x[4] for x in got if x[:3] == (1, 1, 0)] == ["Well then"]
+
+
+def test_any_number_of_roles_is_learned(spark):
+    rows = [(c, t, f"r{t:02d}", "x " * 2 ** (t % 7) + "?" * (t % 2)) for c in range(3) for t in range(12)]
+    model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert model.roles == [f"r{t:02d}" for t in range(12)]
+
+
 # -- decontamination -----------------------------------------------------------------------------
 
 
