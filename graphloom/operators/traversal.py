@@ -100,19 +100,38 @@ def cyclic_core(g):
 
 
 def detect_cycle(g) -> list:
-    """The vertices of one directed cycle, from its smallest; empty where there is none."""
+    """The vertices of one directed cycle, from its smallest; empty where there is none. Beyond
+    MAX_KERNEL_EDGES vertices on cycles or between them, only the cycle itself comes to the driver."""
     core = cyclic_core(g)
-    arcs = core.edges.groupBy("tail").agg(F.min("head").alias("head"))
+    arcs = materialise(core.edges.groupBy("tail").agg(F.min("head").alias("head")), "arcs")
     # One arc per vertex of the core: a functional graph; every component of it has one cycle.
     from .per_component import MAX_KERNEL_EDGES
 
-    rows = arcs.orderBy("tail").limit(MAX_KERNEL_EDGES).collect()
-    if not rows:
+    n = arcs.count()
+    if not n:
         return []
+    rows = (arcs if n <= MAX_KERNEL_EDGES else _cycle_from_smallest(arcs, n)).collect()
     step = {r.tail: r.head for r in rows}
     return search.one_cycle({v: [(w, None)] for v, w in step.items()})
 
 
+def _cycle_from_smallest(arcs: DataFrame, n: int) -> DataFrame:
+    """Of ``n`` arcs, one from each vertex, those of the cycle that the smallest vertex leads to."""
+    jump, steps = arcs, 1
+    while steps < n:  # doubling: after n steps or more every vertex has come to its cycle
+        on = jump.select(F.col("tail").alias("head"), F.col("head").alias("far"))
+        new = materialise(jump.join(on, "head").select("tail", F.col("far").alias("head")), "jump")
+        if jump is not arcs:
+            discard(jump)
+        jump, steps = new, 2 * steps
+    on_cycles = arcs.join(jump.select(F.col("head").alias("tail")).distinct(), "tail", "left_semi")
+    comp = materialise(star_components(on_cycles, "tail", "head"), "cycles")
+    end = jump.orderBy("tail").first()["head"]
+    # A cycle of one vertex has no link to another.
+    own = comp.filter(F.col("v") == F.lit(end)).select("comp").join(comp, "comp").select(F.col("v").alias("tail"))
+    return on_cycles.filter(F.col("tail") == F.lit(end)).unionByName(on_cycles.filter(F.col("tail") != F.lit(end)).join(own, "tail", "left_semi"))
+
+
 def strong_components(g) -> DataFrame:
     """``(key, comp)``: the smallest key of each vertex's strongly connected component.
 

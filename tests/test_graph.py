@@ -115,6 +115,15 @@ def test_traversal(basic, arrows, spark):
     assert sorted(map(tuple, traversal.sides(generators.cycle(spark, 4)).collect())) == [(0, 0), (1, 1), (2, 0), (3, 1)]
 
 
+def test_detect_cycle_beyond_the_kernel(spark, monkeypatch):
+    graphs = [[(0, 7), (7, 5), (5, 6), (6, 4), (4, 5), (1, 2), (2, 3), (3, 1), (3, 0)], [(0, 9), (9, 9), (1, 2), (2, 1), (2, 0)], [(3, 4), (4, 5), (5, 3), (1, 2)], [(1, 2), (2, 3)]]
+    graphs = [PropertyGraph.of_lists(spark, range(10), arcs, directed=True) for arcs in graphs]
+    want = [traversal.detect_cycle(g) for g in graphs]
+    assert want == [[4, 5, 6], [9], [3, 4, 5], []]
+    monkeypatch.setattr("graphloom.operators.per_component.MAX_KERNEL_EDGES", 2)
+    assert [traversal.detect_cycle(g) for g in graphs] == want
+
+
 def test_bridges_and_cut_vertices(spark):
     g = PropertyGraph.of_lists(spark, range(8), [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (3, 6), (4, 5), (5, 6), (5, 7)])
     assert keys(traversal.bridges(g)) == [3, 9] and keys(traversal.cut_vertices(g)) == [2, 3, 5]
