@@ -296,6 +296,15 @@ def test_cascade_verdict_does_not_depend_on_order(spark, sf):
     assert found.filter(a != b).count() == 0
 
 
+def test_rules_are_timed_with_their_measures(spark):
+    rows = docs(spark, [(i, " ".join(f"w{i * j % 997}" for j in range(3000))) for i in range(200)])
+    rules = quality.default_rules()
+    cost = {name: seconds for name, _, seconds in quality.order_rules(quality.measured(rows), rules)}
+    assert cost["repeated_windows"] > 2 * cost["too_short"], cost
+    hashing = {name for name, rule in rules.items() if "xxhash64" in quality.rejected(rows, rule)._jdf.queryExecution().optimizedPlan().toString()}
+    assert hashing == {"repeated_windows"}
+
+
 def test_quality_plan_has_no_python(spark, sf):
     plan = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
