@@ -11,6 +11,7 @@ Conventions that every operator of this subpackage keeps:
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,7 +26,7 @@ from ..scratch import discard, materialise
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bytes of text hashed at once; what a task holds beside its texts is some ten times that.
 BLOCK_BYTES = 1 << 20
-#: Rabin-Karp bases (odd, so they have inverses modulo 2**64).
+#: Rabin-Karp bases.
 BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xC2B2AE3D27D4EB4F
 
@@ -87,32 +88,43 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Windows hash as polynomials modulo a Mersenne prime: modulo a power of two there are words and windows
+#: that collide under every base.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_1, _30, _31, _61 = (np.uint64(x) for x in (1, 30, 31, 61))
 
 
-def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 15)
-        inverse = pow(base, -1, 1 << 64)
-        tables = []
-        for b in (base, inverse):
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        have = _powers[base] = (tables[0], tables[1])
-    return have
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME, for a and b below it."""
+    high, low = np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
+    a_high, a_low = a >> _31, a & _LOW31
+    middle = a_high * low + a_low * high
+    return _reduced(((a_high * high) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + a_low * low)
 
 
 def window_hashes(h: np.ndarray, width: int, base: int = BASE_A) -> np.ndarray:
-    """Rabin-Karp hash (modulo 2**64, by prefix sums) of every window of ``width`` word hashes."""
+    """Rabin-Karp hash (modulo PRIME, put together from windows of 1, 2, 4 ... words) of every window of
+    ``width`` word hashes."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _power_table(base, len(h) + 1)
-    prefix = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=prefix[1:])
-    return mix((prefix[width:] - prefix[:n]) * down[:n])
+    part, size, power = _reduced(h), 1, base % PRIME
+    out, done = None, 0
+    while True:
+        if width & size:
+            rest = part[done:]
+            out = rest if out is None else _reduced(_times(out[: len(rest)], power) + rest)
+            done += size
+        if size * 2 > width:
+            return mix(out[:n])
+        part = _reduced(_times(part[: len(part) - size], power) + part[size:])
+        size, power = size * 2, power * power % PRIME
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,10 +134,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_table = np.random.Generator(np.random.PCG64(20250101)).integers(1 << 63, dtype=np.uint64, size=256) * np.uint64(2) + np.uint64(1)
+#: A random number for each byte at each of 64 places in a word (tabulation); lower-cased in the other.
+_PLACES = 64
+_table = np.random.Generator(np.random.PCG64(20250101)).integers(1 << 64, dtype=np.uint64, size=(_PLACES, 256))
 _lower_table = _table.copy()
-_lower_table[65:91] = _table[97:123]
-_BASE_WORD = 0xFF51AFD7ED558CCD
+_lower_table[:, 65:91] = _table[:, 97:123]
+_LENGTH = np.uint64(0xFF51AFD7ED558CCD)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 
@@ -138,10 +153,17 @@ def _block_hashes(a: np.ndarray, begins: np.ndarray, lower: bool) -> tuple[np.nd
     edge[begins] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    up, down = _power_table(_BASE_WORD, len(a) + 1)
-    prefix = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((_lower_table if lower else _table)[a] * up[: len(a)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts]), starts
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    letters = a[inside[1:-1]]
+    long = lengths.max() > _PLACES
+    value = (_lower_table if lower else _table).ravel()[((place & (_PLACES - 1)) << 8) | letters]
+    if long:
+        value = np.where(place < _PLACES, value, mix(value + (place >> 6).astype(np.uint64) * _LENGTH))
+    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * _LENGTH), starts
 
 
 def batch_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +216,66 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
+def word_ids(texts: pa.Array, lower: bool = False) -> np.ndarray:
+    """All words of a string array in a row as numbers: equal if and only if the words are, in this array."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if lower and texts.nbytes:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
+    found = pc.ascii_split_whitespace(texts).flatten()
+    return found.filter(pc.not_equal(found, "")).dictionary_encode().indices.to_numpy()
+
+
+def sequence_digests(texts: pa.Array, lower: bool = False) -> list[bytes]:
+    """BLAKE2b (128 bits) of each text's words in order: different for different words."""
+    raw = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
+    return [hashlib.blake2b(b" ".join((x.lower() if lower else x).split()), digest_size=16).digest() for x in raw]
+
+
+def raw_windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every shingle of every text (A-Z lower-cased; one of all its words for a text with fewer): hash,
+    text number, number of its first word in the whole array, and words."""
+    h, bounds = batch_hashes(texts, lower=True)
+    w, number, position = batch_windows(h, bounds, width)
+    at, size = bounds[:-1][number] + position if len(number) else number, np.full(len(w), width)
+    words = np.diff(bounds)
+    few = np.flatnonzero((words > 0) & (words < width))
+    if len(few):
+        w = np.r_[w, np.concatenate([window_hashes(h[bounds[i] : bounds[i + 1]], int(words[i])) for i in few])]
+        number, at, size = np.r_[number, few], np.r_[at, bounds[few]], np.r_[size, words[few]]
+    return w, number, at, size
+
+
+def exact_shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text: number (equal if and only if the words are, in this array),
+    text number and hash; sorted by text, then hash."""
+    w, number, at, size = raw_windows(texts, width)
+    if not len(w):
+        return number, number, w
+    ids = np.r_[word_ids(texts, lower=True), np.zeros(width, np.int32)]
+    order = np.argsort(w, kind="stable")
+    same_hash = w[order][1:] == w[order][:-1]
+
+    def changes(order: np.ndarray) -> np.ndarray:
+        x, y = order[1:][same_hash], order[:-1][same_hash]
+        out = ~same_hash
+        out[same_hash] = (size[x] != size[y]) | np.any([(ids[at[x] + k] != ids[at[y] + k]) & (k < size[x]) for k in range(width)], axis=0)
+        return out
+
+    new = changes(order)
+    if (new != ~same_hash).any():  # different shingles with one hash: order them by their words
+        order = np.lexsort((*(np.where(k < size, ids[at + k], -1) for k in range(width)), w))
+        new = changes(order)
+    label = np.empty(len(w), np.int64)
+    label[order] = np.r_[0, np.cumsum(new)]
+    # Labels ascend with the hash.
+    order = np.lexsort((label, number))
+    label, number, w = label[order], number[order], w[order]
+    first = np.r_[True, (label[1:] != label[:-1]) | (number[1:] != number[:-1])]
+    return label[first], number[first], w[first]
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 

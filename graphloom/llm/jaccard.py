@@ -1,10 +1,11 @@
 """N-gram Jaccard join: all pairs of documents whose sets of 5-word shingles overlap by at least
 0.8 of their union, as connected components.
 
-1. One pass over the texts gives each document its set size, a 128-bit fingerprint of the set, and
-   a hashed bitmap of parity bits, as wide as the power of two from the set's size (a wider bitmap
-   folds to a narrower one, so sizes within a band always compare). Documents with equal fingerprints are one class; its
-   smallest member stands for it. The same pass counts all shingles in a fixed-size sketch.
+1. One pass over the texts gives each document its set size, a 128-bit BLAKE2b digest of its words,
+   and a hashed bitmap of parity bits, as wide as the power of two from the set's size (a wider bitmap
+   folds to a narrower one, so sizes within a band always compare). Documents with equal digests - the
+   same words in the same order - are one class; its smallest member stands for it. The same pass counts
+   all shingles in a sketch.
 2. Linked sets share at least 0.8 of the larger one, so they share one of their first
    n - ceil(0.8 n) + 1 shingles in any common order. The order puts shingles that the sketch finds
    frequent last, so passages that many documents share rarely get there. Those prefix shingles
@@ -12,13 +13,15 @@
    order, so that only sizes within the band [0.8 n, n / 0.8] meet.
 3. Round one: small tiles give all their pairs, larger ones the pairs with their smallest member.
    Bitmaps bound the overlap from above - each bit that differs is an element that only one set
-   has - and pairs within the bound are verified by exact sorted-array intersection.
+   has - and pairs within the bound are verified by exact sorted-array intersection over their words.
 4. Round two: within the larger tiles, classes that round one did not bring into one component
    are compared all to all (bitmaps in blocks, then exactly). No link between components is lost,
    and a group of thousands of near copies costs about one verification per member.
 5. Star rounds join the links to components.
 
-The sketch only chooses the order; any order gives the same links.
+The sketch only chooses the order; any order gives the same links. Hashes only propose pairs: sizes
+count shingles that differ in words, and bitmaps and prefixes hold a hash as often as such shingles have
+it, so that two shingles with one hash change no result.
 
 A null or empty text, or one without words, is linked with nothing, not even with its like. A text
 with fewer than five words is one shingle. Documents with equal or null doc_ids stay documents of
@@ -32,18 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import star_components
-from .common import FANOUT, arrow_schema, batch_hashes, batch_windows, batches, bounded_batches, columns, from_planes, hold, ids_are_unique, input_bytes, materialise, mix, numbered, planes, redealt, shingle_sets, window_hashes, with_row_key
+from .common import FANOUT, arrow_schema, batches, bounded_batches, columns, discard, exact_shingles, from_planes, hold, ids_are_unique, input_bytes, materialise, mix, numbered, planes, raw_windows, redealt, sequence_digests, with_row_key
 
 WIDTH = 5
 #: Link when NUMERATOR / DENOMINATOR of the union is shared.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Bounds of a bitmap's width.
 LEAST_BITS, MOST_BITS = 256, 1 << 20
-#: Cells of the count sketch (4 bytes each); what is sent to the driver has this size always.
-SKETCH_CELLS = 1 << 20
+#: Logarithms of the least and greatest number of cells of the count sketch (4 bytes each): one for each MiB
+#: of input between them. What is sent to the driver has this size at most.
+SKETCH_LOGS = 20, 22
 SKETCH_SHARDS = 16
 #: Bytes of input files for each bucket of prefix shingles.
 BUCKET_BYTES = 32 << 20
@@ -53,6 +58,8 @@ SMALL_TILE = 4
 TILE_ROWS = 4096
 #: Sets compared with one pivot in a piece of work.
 PER_PIVOT = 128
+#: Bytes of text that are verified at once.
+VERIFY_BYTES = 2 << 20
 
 META = "kind int, row_key long, doc_id long, n long, f1 long, f2 long, bits binary"
 SENT = "bucket long, docs binary, sizes binary, prints binary, counts binary, hashes binary"
@@ -65,32 +72,29 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def sets_of(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, sorted within each; their text numbers; set sizes."""
-    h, bounds = batch_hashes(texts, lower=True)
-    w, number, _ = batch_windows(h, bounds, width)
-    words = np.diff(bounds)
-    few = np.flatnonzero((words > 0) & (words < width))
-    if len(few):
-        w = np.r_[w, np.concatenate([window_hashes(h[bounds[i] : bounds[i + 1]], int(words[i])) for i in few])]
-        number = np.r_[number, few]
+    """Hashes of the distinct shingles of all texts, sorted within each; their text numbers; set sizes.
+    Shingles are told apart by their words, so a hash that two of a text's shingles have is there twice."""
+    w, number, *_ = raw_windows(texts, width)
     order = np.lexsort((w, number))
     w, number = w[order], number[order]
-    first = np.r_[True, (w[1:] != w[:-1]) | (number[1:] != number[:-1])] if len(w) else np.empty(0, bool)
-    w, number = w[first], number[first]
+    if len(w):
+        again = (w[1:] == w[:-1]) & (number[1:] == number[:-1])
+        repeat = np.unique(number[1:][again])
+        first = np.r_[True, ~again]
+        w, number = w[first], number[first]
+        if len(repeat):
+            _, text, exact = exact_shingles(texts.take(pa.array(repeat)), width)
+            inside = np.isin(number, repeat)
+            if len(exact) != inside.sum():
+                w, number = np.r_[w[~inside], exact], np.r_[number[~inside], repeat[text]]
+                order = np.lexsort((w, number))
+                w, number = w[order], number[order]
     return w, number, np.bincount(number, minlength=len(texts)).astype(np.int64)
 
 
-def _sums(values: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint64)
-    if len(values):
-        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-        out[number[starts]] = np.add.reduceat(values, starts)
-    return out
-
-
-def fingerprints(w: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums over each set."""
-    return _sums(mix(w ^ np.uint64(0x243F6A8885A308D3)), number, n), _sums(mix(w + np.uint64(0x13198A2E03707344)), number, n)
+def fingerprints(texts: pa.Array) -> np.ndarray:
+    """Each text's words (A-Z lower-cased) in order as two 64-bit halves of a cryptographic digest."""
+    return np.frombuffer(b"".join(sequence_digests(texts, lower=True)), "<u8").reshape(-1, 2)
 
 
 def signatures(w: np.ndarray, number: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -116,37 +120,42 @@ def within_bound(differ, total):
     return (total - differ) * (NUMERATOR + DENOMINATOR) >= 2 * NUMERATOR * total
 
 
-def describe(keyed: DataFrame) -> DataFrame:
+def sketch_cells(n_bytes: int) -> int:
+    low, high = SKETCH_LOGS
+    return 1 << min(high, max(low, (n_bytes >> 20).bit_length()))
+
+
+def describe(keyed: DataFrame, cells: int) -> DataFrame:
     """Kind 0: one row per document. Kind 1: shards of the partition's count sketch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("jaccard")
-        schema, sketch = arrow_schema(META), np.zeros(SKETCH_CELLS, np.uint32)
+        schema, sketch = arrow_schema(META), np.zeros(cells, np.uint32)
         for batch in (b for whole in it for b in batches(whole, 4 << 20)):
             n = batch.num_rows
             w, number, sizes = sets_of(batch.column(2))
-            f1, f2 = fingerprints(w, number, n)
-            np.add.at(sketch, (w & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), np.uint32(1))
+            f = fingerprints(batch.column(2)).view(np.int64)
+            np.add.at(sketch, (w & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
             bits = signatures(w, number, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bits, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(bits, pa.binary())], schema=schema)
         for shard, part in enumerate(sketch.reshape(SKETCH_SHARDS, -1)):
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((1, shard, None, 0, 0, 0, part.tobytes()), schema, strict=True)], schema=schema)
 
     return keyed.mapInArrow(run, META)
 
 
-def frequent_levels(meta: DataFrame) -> np.ndarray:
+def frequent_levels(meta: DataFrame, cells: int) -> np.ndarray:
     """Level of each cell of the summed sketch: 0 where it is near the mean, else by its logarithm.
-    What reaches the driver is SKETCH_CELLS bytes, whatever the input."""
+    What reaches the driver is 8 bytes a cell."""
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH_CELLS // SKETCH_SHARDS, np.int64)
+        total = np.zeros(cells // SKETCH_SHARDS, np.int64)
         for (raw,) in columns(rows, "bits"):
             total += np.frombuffer(raw, np.uint32)
         return pa.table({"shard": rows.column("row_key")[:1], "total": pa.array([total.tobytes()], pa.binary())})
 
     rows = meta.filter("kind = 1").select("row_key", "bits").groupBy("row_key").applyInArrow(add, "shard long, total binary").collect()
-    total = np.zeros((SKETCH_SHARDS, SKETCH_CELLS // SKETCH_SHARDS), np.int64)
+    total = np.zeros((SKETCH_SHARDS, cells // SKETCH_SHARDS), np.int64)
     for shard, raw in rows:
         total[shard] = np.frombuffer(raw, np.int64)
     total = total.ravel()
@@ -169,7 +178,7 @@ def _redeal_shingles(sent: DataFrame, fan: int) -> DataFrame:
 
     def decode(row: dict):
         w = np.frombuffer(row["hashes"], "<u8")
-        return row["bucket"], (np.frombuffer(row["docs"], "<i8"), from_planes(row["sizes"]), np.frombuffer(row["prints"], "<u8"), from_planes(row["counts"]), w), len(w)
+        return row["bucket"], (np.frombuffer(row["docs"], "<i8"), from_planes(row["sizes"]), np.frombuffer(row["prints"], "<u8").reshape(-1, 2), from_planes(row["counts"]), w), len(w)
 
     def encode(coarse: int, entries: list) -> list[tuple]:
         key, sizes, mark, count, w = map(np.concatenate, zip(*entries, strict=True))
@@ -191,15 +200,15 @@ def _send(keyed: DataFrame, levels, buckets: int) -> DataFrame:
             w, number, sizes = sets_of(batch.column(1))
             if not len(w):
                 continue
-            f1, f2 = fingerprints(w, number, n)
+            f = fingerprints(batch.column(1))
             # One document for each class of the slice is enough; its smallest key stands for it.
-            order = np.lexsort((key, f2, f1))
-            first = np.r_[True, (f1[order][1:] != f1[order][:-1]) | (f2[order][1:] != f2[order][:-1])]
+            order = np.lexsort((key, f[:, 1], f[:, 0]))
+            first = np.r_[True, (f[order][1:] != f[order][:-1]).any(1)]
             keep = np.zeros(n, bool)
             keep[order[first]] = True
             pick = keep[number]
             w, number = w[pick], number[pick]
-            order = np.lexsort((w, level_of[(w & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)], number))
+            order = np.lexsort((w, level_of[(w & np.uint64(len(level_of) - 1)).astype(np.int64)], number))
             w, number = w[order], number[order]
             starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             rank = np.arange(len(w)) - np.repeat(starts, np.diff(np.r_[starts, len(w)]))
@@ -208,7 +217,7 @@ def _send(keyed: DataFrame, levels, buckets: int) -> DataFrame:
             bucket = (mix(w) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((number, bucket))
             w, number, bucket = w[order], number[order], bucket[order]
-            out = _packed(bucket, number, key, sizes, f1, w)
+            out = _packed(bucket, number, key, sizes, f, w)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return keyed.select("row_key", "text").mapInArrow(run, SENT)
@@ -222,15 +231,15 @@ def _tiles(rows: pa.Table) -> pa.Table:
         token.append(np.frombuffer(h, "<u8"))
         key.append(np.repeat(np.frombuffer(d, "<i8"), count))
         size.append(np.repeat(from_planes(n), count))
-        mark.append(np.repeat(np.frombuffer(f, "<u8"), count))
+        mark.append(np.repeat(np.frombuffer(f, "<u8").reshape(-1, 2), count, axis=0))
     token, key, size, mark = map(np.concatenate, (token, key, size, mark))
     order = np.argsort(token, kind="stable")
     same = token[order][1:] == token[order][:-1]
     pick = order[np.r_[False, same] | np.r_[same, False]]
-    pick = pick[np.lexsort((key[pick], mark[pick], token[pick]))]
+    pick = pick[np.lexsort((key[pick], mark[pick, 1], mark[pick, 0], token[pick]))]
     token, key, size, mark = token[pick], key[pick], size[pick], mark[pick]
     if len(token):  # copies of a class share all their shingles: its smallest member is here
-        pick = np.r_[True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])]
+        pick = np.r_[True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1]).any(1)]
         token, key, size = token[pick], key[pick], size[pick]
     order = np.lexsort((key, size, token))
     token, key, size = token[order], key[order], size[order]
@@ -291,6 +300,27 @@ def _bound(pairs: DataFrame, meta: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, PAIRS)
 
 
+def linked(texts: pa.Array, work: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Which texts are linked with the pivot of their piece of ``work`` (one pivot each), by exact
+    intersection of their sorted shingles, which are told apart by their words."""
+    label, number, _ = exact_shingles(texts, WIDTH)
+    sizes = np.bincount(number, minlength=len(texts))
+    spread = (int(label.max()) + 1) if len(label) else 1
+    place = np.unique(work, return_inverse=True)[1][number] * spread + label
+    own = pivot[number]
+    base = np.sort(place[own])
+    at = np.searchsorted(base, place)
+    met = at < len(base)
+    met[met] = base[at[met]] == place[met]
+    shared = np.bincount(number[met], minlength=len(texts))
+    pivot_size = np.zeros(len(texts), np.int64)
+    groups, group = np.unique(work, return_inverse=True)
+    size_of = np.zeros(len(groups), np.int64)
+    size_of[group[pivot]] = sizes[pivot]
+    pivot_size = size_of[group]
+    return ~pivot & (sizes > 0) & (DENOMINATOR * shared >= NUMERATOR * (sizes + pivot_size - shared))
+
+
 def _verified(pairs: DataFrame, keyed: DataFrame, groups: int) -> DataFrame:
     """The pairs that are links, by exact intersection. Each pivot's pairs are split into pieces of
     about PER_PIVOT, so that a frequent pivot is many pieces of work."""
@@ -298,32 +328,29 @@ def _verified(pairs: DataFrame, keyed: DataFrame, groups: int) -> DataFrame:
     dealt = pairs.join(loads, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / PER_PIVOT)).alias("piece"))
     dealt = materialise(dealt, "pairs")
     wanted = dealt.select("a", "piece", F.col("b").alias("row_key")).union(dealt.select("a", "piece", F.col("a")).distinct())
-    sets = keyed.select("row_key", "text").join(wanted.select("row_key").distinct(), "row_key", "left_semi")
-
-    def arrays(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for whole in it for b in batches(whole, 2 << 20)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), WIDTH)], pa.binary())], names=["row_key", "elements"])
-
-    sent = wanted.join(sets.mapInArrow(arrays, "row_key long, elements binary"), "row_key")
-    sent = sent.withColumn("work", F.pmod(F.xxhash64("a", "piece"), F.lit(groups)))
+    texts = keyed.select("row_key", "text").join(wanted.select("row_key").distinct(), "row_key", "left_semi")
+    sent = wanted.join(texts, "row_key").withColumn("work", F.pmod(F.xxhash64("a", "piece"), F.lit(groups)))
 
     def verify(rows: pa.Table) -> pa.Table:
-        pivots, members, found = {}, {}, []
-        for a, piece, key, raw in columns(rows, "a", "piece", "row_key", "elements"):
-            if key == a:
-                pivots[a, piece] = np.frombuffer(raw, "<u8")
-            else:
-                members.setdefault((a, piece), []).append((key, raw))
-        for at, others in members.items():
-            own = pivots[at]
-            for key, raw in others:
-                other = np.frombuffer(raw, "<u8")
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if DENOMINATOR * shared >= NUMERATOR * (len(own) + len(other) - shared):
-                    found.append((at[0], key))
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[], []])], schema=arrow_schema(PAIRS))
-
-    return sent.select("work", "a", "piece", "row_key", "elements").groupBy("work").applyInArrow(verify, PAIRS)
+        rows = rows.sort_by([("a", "ascending"), ("piece", "ascending")])
+        a, piece, key = (rows.column(c).to_numpy() for c in ("a", "piece", "row_key"))
+        text = rows.column("text").cast(pa.large_string()).combine_chunks()
+        size = np.cumsum(pc.binary_length(text).to_numpy())
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (piece[1:] != piece[:-1])])
+        work = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(a)]))
+        found, s = [], 0
+        while s < len(a):  # whole pieces of work, some VERIFY_BYTES of text at once
+            e = int(np.searchsorted(size, (size[s - 1] if s else 0) + VERIFY_BYTES, "right"))
+            e = int(starts[work[e]]) if e < len(a) else len(a)
+            if e <= s:
+                e = int(starts[work[s] + 1]) if work[s] + 1 < len(starts) else len(a)
+            hit = linked(text.slice(s, e - s), work[s:e], key[s:e] == a[s:e])
+            found.append(np.stack([a[s:e][hit], key[s:e][hit]], 1))
+            s = e
+        pairs = np.concatenate(found)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow_schema(PAIRS))
+
+    return sent.select("work", "a", "piece", "row_key", "text").groupBy("work").applyInArrow(verify, PAIRS)
 
 
 def second_pairs(key: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], own: np.ndarray, block: np.ndarray) -> Iterator[np.ndarray]:
@@ -399,10 +426,12 @@ def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     bounded_batches(docs)
     keyed, plain = with_row_key(docs)
     spark = keyed.sparkSession
-    buckets = max(16, -(-input_bytes(keyed) // bucket_bytes))
-    described = materialise(describe(keyed), "sets")
+    size = input_bytes(keyed)
+    cells = sketch_cells(size)
+    described = materialise(describe(keyed, cells), "sets")
     meta = described.filter("kind = 0").drop("kind")
-    levels = spark.sparkContext.broadcast(frequent_levels(described))
+    buckets = max(16, -(-size // bucket_bytes))
+    levels = spark.sparkContext.broadcast(frequent_levels(described, cells))
     coarse = min(buckets, FANOUT)
     sent = _send(keyed, levels, coarse)
     if buckets > coarse:
@@ -423,6 +452,7 @@ def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     # plain join, whose large side is split where it is skewed.
     classes = reps.join(comps.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", F.col("rep"), F.coalesce("comp", "rep").alias("comp"), F.lit(True).alias("some"))
     classes = materialise(classes, "classes")
+    discard(tiles, near, links, comps)
     full = sets.withColumn("some", F.col("n") > 0).join(classes, ["f1", "f2", "some"], "left")
     full = full.withColumns({"rep": F.coalesce("rep", "row_key"), "component_key": F.coalesce("comp", "row_key")})
     if plain:

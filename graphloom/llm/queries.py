@@ -22,7 +22,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
+    return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents"), texts=False))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

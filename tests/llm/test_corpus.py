@@ -68,6 +68,23 @@ def test_window_hashes_are_equal_for_equal_windows_only(words, width):
     assert len(set(known.values())) == len(known)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "A", "é"]), max_size=14), max_size=6), st.booleans())
+def test_shingles_are_told_apart_by_words(rows, collide):
+    texts, width = pa.array([" ".join(x) for x in rows], pa.string()), 3
+    real = common.raw_windows
+    if collide:
+        common.raw_windows = lambda *x: (lambda w, *rest: (w & np.uint64(1), *rest))(*real(*x))
+    try:
+        label, number, _ = common.exact_shingles(texts, width)
+    finally:
+        common.raw_windows = real
+    want = [{tuple(f[i : i + min(width, len(f))]) for i in range(max(1, len(f) - width + 1))} if (f := folded(" ".join(x))) else set() for x in rows]
+    sets = [set(label[number == i].tolist()) for i in range(len(rows))]
+    assert [len(x) for x in sets] == [len(x) for x in want] == np.bincount(number, minlength=len(rows)).tolist()
+    assert all(len(sets[i] & sets[j]) == len(want[i] & want[j]) for i in range(len(rows)) for j in range(i))
+
+
 def test_planes_round_trip():
     for values in ([], [0], [255, 3], [256], [70000, 1], [1 << 33]):
         assert common.from_planes(common.planes(np.array(values, np.int64))).tolist() == values
@@ -344,6 +361,42 @@ def test_substrings_over_random_repeats(spark, monkeypatch, fanout):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, 20)
 
 
+@pytest.mark.parametrize("mask", [0, 7, 255])
+def test_colliding_hashes_change_no_substring(spark, monkeypatch, mask):
+    monkeypatch.setattr(substrings, "BLOCK_HASHES", 3)
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"p{rng.integers(300)}" for _ in range(40)) for _ in range(3)]
+    rows = [(i, " ".join([f"u{i}", *(f"x{rng.integers(400)}" for _ in range(15)), passages[i % 3], f"v{i % 4}"])) for i in range(14)]
+    rows += [(20 + i, t) for i, (_, t) in enumerate(EDGE[:6])]
+    got = substrings.deduplicate(docs(spark, rows).repartition(3), hash_mask=mask).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows, 20)
+
+
+def morse(n, letters):
+    """The first n letters of the Thue-Morse word: with its complement it collides under every polynomial
+    hash modulo a power of two."""
+    return [letters[i.bit_count() & 1] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_morse_words_are_told_apart(spark, n):
+    one, two = "".join(morse(n, "ab")), "".join(morse(n, "ba"))
+    tail = [f"t{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *tail])), (2, " ".join([two, *tail])), (3, " ".join([two, *tail, "x"])), (4, " ".join(morse(n, ["u", "v"]))), (5, " ".join(morse(n, ["v", "u"]))), (6, " ".join([one, two, one, *tail[:4]]))]
+    got = substrings.deduplicate(docs(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows, 20)
+    got = jaccard.link_components(docs(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+
+
+def test_known_marks_are_spread_over_buckets(spark):
+    """One header in all documents: no bucket gets more than a few times the mean."""
+    header = " ".join(f"h{i}" for i in range(60))
+    frame = docs(spark, [(i, f"{header} " + " ".join(f"d{i}x{j}" for j in range(30))) for i in range(4000)]).select(F.col("doc_id").alias("row_key"), "text").repartition(2)
+    sent = substrings._send(frame, 20, 64, 6, (1 << 64) - 1).filter("hashes is null").groupBy("bucket").count().collect()
+    assert len(sent) > 32 and max(r["count"] for r in sent) <= 8
+
+
 def test_intervals_are_maximal():
     assert substrings.intervals(np.array([0, 3, 20, 50, 71]), 20) == [(0, 40), (50, 70), (71, 91)] and substrings.intervals(np.array([0, 20]), 20) == [(0, 40)]
 
