@@ -227,3 +227,57 @@ class PriorityTable:
     def priority(self, key):
         row = _first(self.items.filter(F.col("key") == F.lit(key)))
         return None if row is None else row.priority
+
+
+@dataclass(frozen=True)
+class SequenceTable:
+    """``items (seq, item)`` in the order of ``seq``: a stack (``push``, ``pop``) or a queue (``push``,
+    ``take``). Rows keep their place, so neither end moves any other row."""
+
+    items: DataFrame
+
+    @classmethod
+    def of(cls, rows: DataFrame, *order: str) -> SequenceTable:
+        """All of ``rows (item ...)``, pushed in the given order."""
+        return cls(with_rank(rows, *order, name="seq").select(F.col("seq").cast("long").alias("seq"), "item"))
+
+    def __len__(self) -> int:
+        return self.items.count()
+
+    def is_empty(self) -> bool:
+        return self.items.isEmpty()
+
+    def contains(self, item) -> bool:
+        return not self.items.filter(F.col("item") == F.lit(item)).isEmpty()
+
+    def push(self, item) -> SequenceTable:
+        after = (self.items.agg(F.max("seq")).first()[0] or 0) + 1
+        return SequenceTable(self.items.unionByName(self.items.sparkSession.createDataFrame([(after, item)], self.items.schema)))
+
+    def _end(self, last: bool) -> Row | None:
+        return _first(self.items.orderBy(F.desc("seq") if last else F.col("seq")))
+
+    def top(self):
+        """The item pushed last, of a stack its top and of a queue its back; None where there is none."""
+        row = self._end(True)
+        return None if row is None else row.item
+
+    def front(self):
+        row = self._end(False)
+        return None if row is None else row.item
+
+    def _without(self, row: Row | None) -> tuple:
+        if row is None:
+            raise NotExistsError("an item")
+        return row.item, SequenceTable(self.items.filter(F.col("seq") != row.seq))
+
+    def pop(self) -> tuple:
+        """The item pushed last, and the others."""
+        return self._without(self._end(True))
+
+    def take(self) -> tuple:
+        """The item pushed first, and the others."""
+        return self._without(self._end(False))
+
+    def cleared(self) -> SequenceTable:
+        return SequenceTable(self.items.limit(0))

@@ -82,10 +82,10 @@ def graph_profile(spark, sf):
     return P.supply(spark, sf).profile()
 
 
-@query(f"""WITH {SEQUENCE} SELECT 'source' AS kind, key FROM v WHERE key NOT IN (SELECT head FROM e)
-UNION ALL SELECT 'sink', key FROM v WHERE key NOT IN (SELECT tail FROM e)""")
+@query(f"""WITH {HIERARCHY} SELECT 'source' AS kind, key FROM h WHERE parent IS NULL
+UNION ALL SELECT 'sink', key FROM h WHERE key NOT IN (SELECT parent FROM h WHERE parent IS NOT NULL)""")
 def sources_and_sinks(spark, sf):
-    g = P.sequence(spark, sf)
+    g = P.hierarchy(spark, sf)
     return g.sources().select(F.lit("source").alias("kind"), "key").unionByName(g.sinks().select(F.lit("sink").alias("kind"), "key"))
 
 
@@ -269,16 +269,6 @@ def cycle_counts(spark, sf):
     return spark.createDataFrame([(n, traversal.count_cycles(g, n)) for n in (1, 2, 3, 4)], "length int, cycles long")
 
 
-@query("SELECT * FROM (VALUES (0,0),(1,1),(2,2),(3,3),(4,4),(9,5),(6,6),(8,7),(5,8),(7,9)) t(key, position)")
-def depth_first_order(spark, sf):
-    return traversal.depth_first(generators.petersen(spark), 0).select("key", "position")
-
-
-@query()
-def lexicographic_orders(spark, sf):
-    g = generators.petersen(spark)
-    a, b = (traversal.lexicographic_order(g, 0, d).select(F.lit(n).alias("kind"), "key", "position") for d, n in ((False, "bfs"), (True, "dfs")))
-    return a.unionByName(b)
 
 
 # -- paths, trees, flow ------------------------------------------------------------------------
@@ -344,20 +334,22 @@ def general_matching(spark, sf):
     return spark.createDataFrame([(n, matching.general_matching(g).count()) for n, g in named.items()], "name string, edges int")
 
 
-@query("""WITH m AS (SELECT * FROM (VALUES (1,5,82),(1,6,83),(1,7,69),(1,8,92),(2,5,77),(2,6,37),(2,7,49),(2,8,92),(3,5,11),(3,6,69),(3,7,5),(3,8,86),(4,5,8),(4,6,9),(4,7,78),(4,8,23)) t(a, b, w))
+@query("""WITH m AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, (31 * a.n_nationkey + 17 * b.n_nationkey + 7 * a.n_nationkey * b.n_nationkey) % 97 AS w FROM nation a, nation b WHERE a.n_nationkey < 4 AND b.n_nationkey BETWEEN 4 AND 7)
 SELECT min(x.w + y.w + z.w + u.w)::DOUBLE AS least, max(x.w + y.w + z.w + u.w)::DOUBLE AS greatest FROM m x, m y, m z, m u
-WHERE x.a = 1 AND y.a = 2 AND z.a = 3 AND u.a = 4 AND x.b NOT IN (y.b, z.b, u.b) AND y.b NOT IN (z.b, u.b) AND z.b <> u.b""")
+WHERE x.a = 0 AND y.a = 1 AND z.a = 2 AND u.a = 3 AND x.b NOT IN (y.b, z.b, u.b) AND y.b NOT IN (z.b, u.b) AND z.b <> u.b""")
 def weighted_matching(spark, sf):
+    """Four nations with four others, weighed by a polynomial of their numbers."""
     from ..operators.bipartite import Bipartite
 
-    rows = [(82, 83, 69, 92), (77, 37, 49, 92), (11, 69, 5, 86), (8, 9, 78, 23)]
-    e = [(i * 4 + j, i + 1, j + 5, float(x)) for i, r in enumerate(rows) for j, x in enumerate(r)]
-    g = Bipartite.of(spark.range(1, 9).select(F.col("id").alias("key"), (F.col("id") < 5).alias("part_a")), spark.createDataFrame(e, "key long, tail long, head long, weight double"))
+    v = P.read(spark, sf, "nation").filter("n_nationkey < 8").select(F.col("n_nationkey").cast("long").alias("key"), (F.col("n_nationkey") < 4).alias("part_a"))
+    e = v.filter("part_a").select(F.col("key").alias("tail")).join(v.filter("not part_a").select(F.col("key").alias("head")), F.lit(True))
+    e = e.select((F.col("tail") * 8 + F.col("head")).alias("key"), "tail", "head", F.expr("double((31 * tail + 17 * head + 7 * tail * head) % 97)").alias("weight"))
+    g = Bipartite.of(materialise(v, "parts"), materialise(e, "edges"))
     total = lambda m: matching.weighted_matching(g, m).agg(F.sum("weight")).first()[0]
     return spark.createDataFrame([(total(False), total(True))], "least double, greatest double")
 
 
-@query(f"WITH {TRADE} SELECT 25::BIGINT AS vertices, 0::BIGINT AS violations FROM (SELECT 1)")
+@query("SELECT count(*) AS vertices, 0::BIGINT AS violations FROM nation")
 def greedy_colouring(spark, sf):
     g = P.trade(spark, sf).undirected()
     c = colouring.greedy_vertex_colouring(g)
@@ -389,16 +381,6 @@ def planarity(spark, sf):
     return spark.createDataFrame([(n, colouring.is_planar(g)) for n, g in named.items()], "name string, planar boolean")
 
 
-@query("""SELECT * FROM (VALUES ('petersen', 10, 15), ('hajos', 7, 11), ('fano', 7, 15), ('heawood', 14, 21), ('K6', 6, 15), ('K3,4', 7, 12), ('K2,2,3', 7, 16), ('Q4', 16, 32),
-  ('C9', 9, 9), ('W6', 6, 10), ('queen3', 9, 28), ('hadamard2', 8, 8), ('tree', 13, 12), ('full tree', 15, 14), ('tournament', 8, 28)) t(name, vertices, edges)""")
-def named_graphs(spark, sf):
-    gs = {
-        "petersen": generators.petersen(spark), "hajos": generators.hajos(spark), "fano": generators.fano_plane(spark), "heawood": generators.heawood(spark), "K6": generators.complete_graph(spark, 6),
-        "K3,4": generators.complete_bipartite(spark, 3, 4), "K2,2,3": generators.complete_kpartite(spark, [2, 2, 3]), "Q4": generators.hypercube(spark, 4), "C9": generators.cycle(spark, 9), "W6": generators.wheel(spark, 6),
-        "queen3": generators.queen(spark, 3, 3), "hadamard2": generators.hadamard(spark, [[1, 1], [1, -1]]), "tree": generators.complete_tree(spark, 3, 13).graph, "full tree": generators.full_tree(spark, 2, 4).graph, "tournament": generators.random_tournament(spark, 8),
-    }
-    return spark.createDataFrame([(n, g.validated().order(), g.size()) for n, g in gs.items()], "name string, vertices int, edges int")
-
 
 # -- hypergraphs, forests ------------------------------------------------------------------------
 
@@ -522,7 +504,7 @@ def prefix_search(spark, sf):
 # -- sources, text, jobs, streams ------------------------------------------------------------------
 
 
-@query(f"WITH {TRADE} SELECT 25::BIGINT AS vertices, count(*) AS edges, sum(weight) AS weight FROM e")
+@query(f"WITH {TRADE} SELECT (SELECT count(*) FROM nation) AS vertices, count(*) AS edges, sum(weight) AS weight FROM e")
 def json_round_trip(spark, sf):
     g = P.trade(spark, sf)
     back = documents.from_document(spark, documents.to_json(g).first().value)
@@ -534,29 +516,33 @@ def tikz_lines(spark, sf):
     return drawing.edge_lines(P.trade(spark, sf), "->")
 
 
-@query("SELECT * FROM (VALUES ('1', 'success'), ('2', 'success'), ('3', 'success'), ('4', 'success'), ('5', 'success')) t(key, status)")
+@query("SELECT n_name AS key, 'success' AS status FROM nation UNION ALL SELECT 'all', 'success' FROM region WHERE r_regionkey = 0")
 def job_table(spark, sf):
-    jobs = JobGraph("demo", spark)
-    for key in (1, 2, 3, 4, 5):
-        jobs.add_job(key, lambda: P.read(spark, sf, "region").count())
-    for first, then in ((1, 2), (2, 5), (3, 4), (4, 5)):
-        jobs.add_dependency(first, then)
+    """A job for each nation, in chains of their regions that end in one job."""
+    jobs = JobGraph("nations", spark)
+    nations = P.read(spark, sf, "nation").select("n_regionkey", "n_name").orderBy("n_regionkey", "n_name").collect()
+    for r in nations:
+        jobs.add_job(r.n_name, lambda r=r: len(r.n_name))
+    jobs.add_job("all", lambda: P.read(spark, sf, "nation").count())
+    for r, after in zip(nations, [*nations[1:], None]):
+        jobs.add_dependency(r.n_name, after.n_name if after and after.n_regionkey == r.n_regionkey else "all")
     jobs.start()
     jobs.wait(120)
     return jobs.table().select("key", "status")
 
 
-@query("SELECT 806 AS result")
+@query("SELECT (SELECT count(*) FROM customer) * 3 - (SELECT count(*) FROM supplier) AS result")
 def workflow_result(spark, sf):
-    """2n + 3m + 6 by six tasks, n = 100 and m = 200."""
-    wf = Workflow("sums", spark=spark)
-    wf.add_task(Task("t1", lambda i: {"x": i["n"]}), Task("t2", lambda i: {"x": 2 * i["x"]}), Task("t3", lambda i: {"x": i["m"]}), Task("t4", lambda i: {"x": 3 * i["x"]}), Task("t5", lambda i: {"x": i["a"] + i["b"]}), Task("t6", lambda i: {"x": i["x"] + 6}))
-    wf.set_inputs({"t1": [Parameter("n", 100)], "t2": [Parameter("x", ref="t1.output.x")], "t3": [Parameter("m", 200)], "t4": [Parameter("x", ref="t3.output.x")], "t5": [Parameter("a", ref="t2.output.x"), Parameter("b", ref="sums.t4.output.x")], "t6": [Parameter("x", ref="t5.output.x")]})
-    for first, then in (("t1", "t2"), ("t3", "t4"), ("t2", "t5"), ("t4", "t5"), ("t5", "t6")):
+    """Three times the customers less the suppliers, by four tasks."""
+    wf = Workflow("counts", spark=spark)
+    count = lambda i: {"n": P.read(spark, sf, i["table"]).count()}
+    wf.add_task(Task("buyers", count), Task("sellers", count), Task("triple", lambda i: {"n": 3 * i["n"]}), Task("less", lambda i: {"n": i["a"] - i["b"]}))
+    wf.set_inputs({"buyers": [Parameter("table", "customer")], "sellers": [Parameter("table", "supplier")], "triple": [Parameter("n", ref="buyers.output.n")], "less": [Parameter("a", ref="triple.output.n"), Parameter("b", ref="counts.sellers.output.n")]})
+    for first, then in (("buyers", "triple"), ("triple", "less"), ("sellers", "less")):
         wf.add_dependency(first, then)
     wf.start()
     wf.wait(60)
-    return spark.createDataFrame([(wf.output("t6")["x"],)], "result int")
+    return spark.createDataFrame([(wf.output("less")["n"],)], "result int")
 
 
 @query(f"""WITH RECURSIVE {SEQUENCE}, p AS (SELECT tail AS a, head AS b FROM e UNION SELECT head, tail FROM e),
@@ -569,3 +555,6 @@ def online_components(spark, sf):
     for i in range(3):
         online.apply(g.edges.filter(F.pmod("key", F.lit(3)) == i))
     return online.components()
+
+
+from . import inventory  # noqa: E402, F401  (registers further queries)

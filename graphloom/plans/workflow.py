@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,22 @@ class Task:
         self.outputs = dict(self.function(self.inputs) or {})
 
 
+def _cron_values(text: str, low: int, high: int) -> set[int]:
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        first, _, last = ("%d-%d" % (low, high) if span == "*" else span).partition("-")
+        last = last or (str(high) if step else first)
+        if not low <= int(first) <= int(last) <= high:
+            raise ValueError(f"{part!r} is outside {low} to {high}")
+        out.update(range(int(first), int(last) + 1, int(step or 1)))
+    return out
+
+
 @dataclass
 class Workflow:
     name: str = ""
-    schedule: str = ""  # kept, not acted on
+    schedule: str = ""  # five cron fields; see ``due``
     spark: SparkSession | None = None
     tasks: dict[str, Task] = field(default_factory=dict)
     after: dict[str, set] = field(default_factory=dict)
@@ -44,6 +57,29 @@ class Workflow:
     declared: dict[str, list[Parameter]] = field(default_factory=dict)
     _jobs: JobGraph | None = None
 
+    def due(self, after: datetime, n: int = 1) -> list[datetime]:
+        """The next n times of the schedule after a moment: minute, hour, day, month, weekday (0 is Sunday),
+        each a list of numbers, ranges and steps; a day fits where either day field that is set does. What
+        starts the workflow then is the caller's scheduler."""
+        fields = self.schedule.split()
+        if len(fields) != 5:
+            raise ValueError(f"a schedule of five fields is asked for: {self.schedule!r}")
+        minute, hour, day, month, weekday = (_cron_values(f, low, high) for f, (low, high) in zip(fields, ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7)), strict=True))
+        weekday = {x % 7 for x in weekday}
+        at, out = after.replace(second=0, microsecond=0) + timedelta(minutes=1), []
+        end = after + timedelta(days=366 * 8)
+        while len(out) < n and at < end:
+            fits = [x for x, f in ((at.day in day, fields[2]), (at.isoweekday() % 7 in weekday, fields[4])) if f != "*"]
+            if at.month not in month or (fits and not any(fits)):
+                at = at.replace(hour=0, minute=0) + timedelta(days=1)
+            elif at.hour not in hour:
+                at = at.replace(minute=0) + timedelta(hours=1)
+            else:
+                if at.minute in minute:
+                    out.append(at)
+                at += timedelta(minutes=1)
+        return out
+
     def add_task(self, *tasks: Task) -> None:
         for t in tasks:
             if t.name in self.tasks:
