@@ -6,14 +6,14 @@ the order of a hash):
 * words and word beginnings of 4 to 9 letters that occur in far more toxic than other texts become
   lexicon terms. Support is counted over distinct MinHash keys, so a text copied a thousand times
   counts about once;
-* misspellings: a word within one edit of a term of five or more letters is a hit too, found by
+* misspellings: a word within one edit (more would reach other words) of a term of five or more letters is a hit too, found by
   walking the trie with the word's automaton. A term whose misspellings turn up in other texts
   loses them;
 * a logistic model over the hits, their density and their context gives the score.
 
 Context window: a hit within quotation marks of its line, or with a reporting word within five
-words before it, counts as quoted; one with a second-person word or another hit within five words
-counts as aimed. The model weighs the two apart.
+words before it, counts as quoted and as nothing else: it adds neither to the evidence nor to the
+density. One with a second-person word or another hit within five words counts as aimed.
 
 Scores use the text only - not labels, lang, source or doc_id. Null and empty texts get the score
 of a text without hits. Repeated rows are scored one by one. With no labelled rows at all every
@@ -35,8 +35,8 @@ from .common import arrow_schema, batches, bounded_batches, columns, hold, mater
 
 #: Bound of the labelled sample that the lexicon and the model are fitted on.
 TRAIN_ROWS = 20_000
-#: Terms kept at most, by support (the model's size).
-LEXICON_TERMS = 2_000
+#: A term needs this support at least, and one in a hundred of the toxic texts: their terms are then at most
+#: a hundred times the distinct words and stems of a text, so the lexicon is bounded without a cut.
 MIN_SUPPORT, MIN_LIFT = 6, 20.0
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 FUZZY_LENGTH = 5
@@ -133,6 +133,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     if found:
         words = [(m.group(), m.start()) for m in WORD.finditer(low)]
         where = [i for i, (w, _) in enumerate(words) if w in found]
+        spoken = []
         marks = [m.start() for m in QUOTES.finditer(low)]
         hit_at = set(where)
         for i in where:
@@ -146,11 +147,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
                 counts["quoted"] += 1
                 continue
             counts[kind] += 1
+            spoken.append(i)
             if around & ADDRESS or any(j in hit_at for j in range(i - WINDOW, i + WINDOW + 1) if j != i):
                 counts["aimed"] += 1
         weight = {"word": lexicon.words, "stem": lexicon.stems, "fuzzy": lexicon.fuzzy}
-        counts["evidence"] = sum(max(0.0, weight[k][t] - 2) for k, t in (found[words[i][0]] for i in where))
-        counts["density"] = 10 * len(where) / len(words)
+        counts["evidence"] = sum(max(0.0, weight[k][t] - 2) for k, t in (found[words[i][0]] for i in spoken))
+        counts["density"] = 10 * len(spoken) / len(words)
     return [math.log1p(counts[f]) for f in FEATURES]
 
 
@@ -164,7 +166,7 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weights of a ridge logistic model, by damped Newton steps; none below zero but ``quoted``'s."""
+    """Weights and bias of a ridge logistic model, by damped Newton steps."""
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model(Lexicon({}, {}), np.zeros(len(FEATURES)), -1e-3)
     lift = ((F.col("n1") + 0.5) / (t1 + 1)) / ((F.col("n0") + 0.5) / (t0 + 1))
     least = max(MIN_SUPPORT, t1 // 100)
-    terms = _term_counts(sample).filter(F.col("n1") >= min(least, max(2, t1 // 4))).withColumn("lift", lift).filter(F.col("lift") >= min(MIN_LIFT, 0.5 * t0)).orderBy(F.desc("n1"), "kind", "term").limit(LEXICON_TERMS).collect()
+    terms = _term_counts(sample).filter(F.col("n1") >= min(least, max(2, t1 // 4))).withColumn("lift", lift).filter(F.col("lift") >= min(MIN_LIFT, 0.5 * t0)).orderBy(F.desc("n1"), "kind", "term").collect()
     stems = {r.term: math.log(r.lift) for r in terms if r.kind == 1}
     lexicon = Lexicon({r.term: math.log(r.lift) for r in terms if r.kind == 0}, stems)
 
