@@ -9,7 +9,7 @@ several turns in one text gives one row for each (``piece`` counts them). Labell
 from count as one turn each. Any number of roles is learned.
 
 A conversation of any length is one chain, so the chain is cut: turns are sorted by (conv_id, turn,
-text) into range partitions and numbered blocks of ``BLOCK`` turns. Each block reports, for its first
+text) into range partitions and numbered blocks of at most ``BLOCK`` turns and about ``BLOCK_BYTES``. Each block reports, for its first
 and last conversation, the best score from each entering to each leaving role (a small matrix);
 those matrices are chained per conversation to fix the roles at the cuts; then all blocks decode
 on their own. The result is that of one Viterbi pass, with ties going to the role first in order.
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_schema, bounded_batches, columns, materialise
 
-BLOCK = 4096
+#: Turns in a block at most, and bytes of their text from which it ends.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
 #: Speaker markers of common transcript forms.
 MARKERS = {"user": "user", "human": "user", "customer": "user", "me": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "agent": "assistant", "system": "system", "tool": "tool"}
-_MARKER = re.compile(r"^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)[*]*\s*", re.I)
+_MARKER = re.compile(r"^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)[*]*\s*", re.I | re.A)
 _MARKER_SQL = r"(?i)^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)"
 _TURN_START = re.compile(r"^[^\S\n]*[#*>\[<| \t]*(?:" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*[^\S\n]*(?::|\n)", re.I | re.M)
 LENGTHS, LINES = 20, 4
@@ -50,7 +51,7 @@ def observation(text: str | None) -> tuple[str, int, int, int]:
     text = text or ""
     m = _MARKER.match(text)
     n = len(text)
-    return MARKERS[m.group(1).lower()] if m else "", min(LENGTHS - 1, n.bit_length()), min(LINES - 1, text.count("\n")), int(text.rstrip().endswith("?"))
+    return MARKERS[m.group(1).lower()] if m else "", min(LENGTHS - 1, n.bit_length()), min(LINES - 1, text.count("\n")), int(text.rstrip(" ").endswith("?"))
 
 
 def pieces(text: str | None) -> list[str | None]:
@@ -122,7 +123,7 @@ def _ordered(turns: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange("conv_id", "turn", "h").sortWithinPartitions("conv_id", "turn", "h", "text").drop("h")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, filled = TaskContext.get().partitionId(), 0, 0.0
         for batch in it:
             cut = [pieces(text) for (text,) in columns(batch, "text")]
             row = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
@@ -130,8 +131,11 @@ def _ordered(turns: DataFrame) -> DataFrame:
             idx = np.arange(at, at + n, dtype=np.int64)
             at += n
             number = pa.array([i for x in cut for i in range(len(x))], pa.int64())
+            share = np.array([max(1 / BLOCK, len(t or "") / BLOCK_BYTES) for x in cut for t in x])
+            block = (filled + np.cumsum(share) - share).astype(np.int64)
+            filled += float(share.sum())
             conv, turn = (batch.column(i).take(pa.array(row)) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(idx // BLOCK), pa.array(idx), conv, turn, number, pa.array([t for x in cut for t in x], pa.string())], schema=arrow_schema(TURNS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(block), pa.array(idx), conv, turn, number, pa.array([t for x in cut for t in x], pa.string())], schema=arrow_schema(TURNS))
 
     return materialise(rows.mapInArrow(run, TURNS), "turns")
 
