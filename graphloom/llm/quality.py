@@ -1,12 +1,13 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-A rule is a named boolean column over the measures of a text. The cascade takes a bounded sample,
-estimates each rule's rejection rate and cost there - that of the measures it needs with it - and
-orders the rules by rejection per cost.
+A rule is a named boolean column over the measures of a text. The cascade takes a bounded sample by the
+order of a hash, estimates each rule's rejection rate and cost there, and orders the rules by rejection
+per cost. A cost is counted, not timed - the characters and window words that a rule and the measures it
+needs go through, on the sample's mean text - so two runs give one order; ties go by name.
 The order is compiled into one CASE expression: evaluation stops at the first rule that rejects,
-whose name is the result's ``rejected_by``. The verdict itself does not depend on the order. Where
-the measures are asked for as columns (``judge``), all are computed for every row and only the
-comparisons are short-circuited.
+whose name is the result's ``rejected_by``. The verdict itself does not depend on the order. ``kept``
+computes a measure only where the cascade comes to it. Where the measures are asked for as columns
+(``judge``), those are computed for every row, and what only rules need (letters, signs, lines) is not.
 
 Everything runs inside Spark SQL expressions. Values that an expression needs more than once are
 bound by a one-element ``transform``, so they are computed once for each row.
@@ -19,7 +20,7 @@ words and fails the base rule; repeated rows are judged one by one.
 
 from __future__ import annotations
 
-import time
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,6 +30,7 @@ MIN_WORDS = 20
 #: Rows of the sample that costs and selectivities are estimated on.
 SAMPLE_ROWS = 500
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = "\t\n\x0b\x0c\r "
 _SYMBOLS = "#*$%&|<>"
 
@@ -72,61 +74,71 @@ def _repeat_words(w: Column, width: int = REPEAT_WIDTH) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(let(starts(h), covered)))
 
 
-def measured(docs: DataFrame, apart: bool = False) -> DataFrame:
-    """``doc_id``, ``text`` and the measures of every row; ``apart`` shares nothing between measures, so
-    that those which are not asked for are not computed."""
+def _measures(text: Column) -> dict[str, Column]:
+    """The measures that rules read, each an expression of its own over the text."""
+    return {
+        "n_symbols": (F.length(text) - _without(text, _SYMBOLS)).cast("bigint"),
+        "n_dup_lines": _dup_lines(text).cast("bigint"),
+        "n_repeat_words": let(words(text), lambda x: _repeat_words(x)),
+        "word_chars": _without(text, _SPACE).cast("bigint"),
+        "n_words": F.size(words(text)).cast("bigint"),
+    }
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the measures of every row."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    w = words(F.col("text"))
-    if apart:
-        out = slim.withColumn("n_words", F.size(w).cast("bigint")).withColumn("n_repeat_words", let(w, lambda x: _repeat_words(x)))
-        n_words, n_repeat_words = F.col("n_words"), F.col("n_repeat_words")
-    else:
-        out = slim.withColumn("m", let(w, lambda x: F.struct(F.size(x).cast("bigint").alias("n_words"), _repeat_words(x).alias("n_repeat_words"))))
-        n_words, n_repeat_words = F.col("m.n_words"), F.col("m.n_repeat_words")
-    return out.select(
-        "doc_id", "text", n_words.alias("n_words"),
-        _without(F.col("text"), _SPACE).cast("bigint").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), _SYMBOLS)).cast("bigint").alias("n_symbols"),
-        _dup_lines(F.col("text")).cast("bigint").alias("n_dup_lines"),
-        n_repeat_words.alias("n_repeat_words"),
-    )
+    out = slim.withColumn("m", let(words(F.col("text")), lambda x: F.struct(F.size(x).cast("bigint").alias("n_words"), _repeat_words(x).alias("n_repeat_words"))))
+    m = _measures(F.col("text")) | {"n_words": F.col("m.n_words"), "n_repeat_words": F.col("m.n_repeat_words")}
+    return out.select("doc_id", "text", *(m[name].alias(name) for name in MEASURES))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def default_rules() -> dict[str, Column]:
-    """Rules that reject when true."""
+def default_rules(measures: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Rules that reject when true, over columns of the measures or the given expressions."""
+    m = {name: F.col(name) for name in MEASURES} | (measures or {})
     return {
-        "too_short": F.col("n_words") < MIN_WORDS,
-        "repeated_windows": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-        "symbols": 5 * F.col("n_symbols") > F.col("n_words"),
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words")),
-        "duplicate_lines": F.col("n_dup_lines") * 2 > F.size(F.split("text", "\n")),
-        "shouting": F.length(F.regexp_replace("text", "[^!]", "")) * 5 > F.col("n_words"),
-        "no_letters": F.length(F.regexp_replace("text", "\\P{L}", "")) * 2 < F.col("word_chars"),
+        "too_short": m["n_words"] < MIN_WORDS,
+        "repeated_windows": 100 * m["n_repeat_words"] > 30 * m["n_words"],
+        "symbols": 5 * m["n_symbols"] > m["n_words"],
+        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]),
+        "duplicate_lines": m["n_dup_lines"] * 2 > F.size(F.split("text", "\n")),
+        "shouting": F.length(F.regexp_replace("text", "[^!]", "")) * 5 > m["n_words"],
+        "no_letters": F.length(F.regexp_replace("text", "\\P{L}", "")) * 2 < m["word_chars"],
     }
 
 
-def rejected(docs: DataFrame, rule: Column) -> DataFrame:
-    """The rows that a rule rejects, by the measures it needs alone."""
-    return measured(docs, apart=True).filter(F.coalesce(rule, F.lit(False))).select("doc_id")
+#: What a measure costs, in passes over a text's characters; that of n_repeat_words in words for each word.
+PASSES = {"n_words": 2, "word_chars": 1, "n_symbols": 1, "n_dup_lines": 3, "text": 2}
+WINDOW_PASSES = 3 * REPEAT_WIDTH
+
+
+def needs(rule: Column) -> set[str]:
+    """The measures that a rule reads (``text``: the text itself)."""
+    return set(re.findall(r"\b(n_words|word_chars|n_symbols|n_dup_lines|n_repeat_words|text)\b", str(rule)))
 
 
-def order_rules(measures: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """Rules by rejection per cost on a bounded sample: (name, rejection rate, seconds a row). Only the
-    sample's texts are kept; each rule is timed with its measures, after a run that compiles it."""
-    sample = measures.select("doc_id", "text").limit(sample_rows).cache()
-    n = max(1, sample.count())
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``rows`` rows, first by a hash: the same in each run, from anywhere in the table."""
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return slim.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows)
+
+
+def order_rules(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """Rules by rejection per cost on a bounded sample: (name, rejection rate, cost of a row). One job."""
+    rates = [F.avg(F.coalesce(rule, F.lit(False)).cast("double")) for rule in rules.values()]
+    row = measured(sample_of(docs, sample_rows)).agg(F.avg(F.length("text")), F.avg("n_words"), *rates).first()
+    chars, words_, *found = (x or 0.0 for x in row)
     out = []
-    for name, rule in rules.items():
-        found = rejected(sample, rule)
-        count = found.count()
-        begun = time.perf_counter()
-        found.count()
-        out.append((name, count / n, (time.perf_counter() - begun) / n))
-    sample.unpersist()
+    for (name, rule), rate in zip(rules.items(), found, strict=True):
+        wanted = needs(rule)
+        cost = 1 + chars * sum(PASSES[m] for m in wanted if m in PASSES)
+        if "n_repeat_words" in wanted:
+            cost += chars + words_ * WINDOW_PASSES
+        out.append((name, rate, cost))
     return sorted(out, key=lambda x: (-(x[1] / x[2]), x[0]))
 
 
@@ -141,6 +153,17 @@ def cascade(order: list[str], rules: dict[str, Column]) -> Column:
 def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id``, the measures, ``rejected_by``, ``base_failed`` and ``kept`` of every row."""
     rules = rules or default_rules()
-    order = [name for name, *_ in order_rules(measured(docs.limit(sample_rows)), rules, sample_rows)]
+    order = [name for name, *_ in order_rules(docs, rules, sample_rows)]
     found = measured(docs).withColumn("rejected_by", cascade(order, rules)).withColumn("base_failed", base_failed())
     return found.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("text")
+
+
+def kept(docs: DataFrame, rules: Callable[[dict[str, Column]], dict[str, Column]] = default_rules, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id`` and ``rejected_by`` of every row: a measure stands inside the branch that reads it, so a row
+    that an earlier rule rejects never computes a later one's. ``rules`` makes rules of measures; only the
+    counts of words and letters, which most rules read, are computed for all rows."""
+    order = [name for name, *_ in order_rules(docs, rules({}), sample_rows)]
+    m = _measures(F.col("text"))
+    shared = {name: m[name] for name in ("n_words", "word_chars")}
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(shared)
+    return slim.select("doc_id", cascade(order, rules(m | {name: F.col(name) for name in shared})).alias("rejected_by"))

@@ -260,6 +260,7 @@ def test_context_separates_quotation():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "stupid": 5.0}, {})
     f = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, lexicon), strict=True))
     assert f('he said "idiot" once')["quoted"] > 0 and f('he said "idiot" once')["word"] == 0
+    assert f('he said "idiot" once')["evidence"] == 0 == f('he said "idiot" once')["density"] and f("an idiot")["evidence"] > 0 < f("an idiot")["density"]
     assert f("you idiot")["aimed"] > 0 and f("you idi0t")["fuzzy"] > 0 and f(None)["density"] == 0
 
 
@@ -305,21 +306,25 @@ def test_quality_measures(spark):
 
 
 def test_cascade_verdict_does_not_depend_on_order(spark, sf):
-    found = quality.measured(spark.read.parquet(f"{sf}/documents.parquet"))
-    rules = quality.default_rules()
-    order = [n for n, *_ in quality.order_rules(found, rules)]
-    assert sorted(order) == sorted(rules)
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    rules, found = quality.default_rules(), quality.measured(docs_)
+    ordered = quality.order_rules(docs_, rules)
+    assert ordered == quality.order_rules(docs_.repartition(5), rules) and sorted(n for n, *_ in ordered) == sorted(rules)
+    order = [n for n, *_ in ordered]
     a, b = quality.cascade(order, rules).isNull(), quality.cascade(order[::-1], rules).isNull()
     assert found.filter(a != b).count() == 0
 
 
-def test_rules_are_timed_with_their_measures(spark):
-    rows = docs(spark, [(i, " ".join(f"w{i * j % 997}" for j in range(3000))) for i in range(200)])
+def test_cascade_computes_what_it_comes_to(spark):
+    rows = docs(spark, [(i, " ".join(f"w{i * j % 997}" for j in range(300))) for i in range(20)] + [(30, "short"), (31, None), (32, "a b " * 40)])
     rules = quality.default_rules()
-    cost = {name: seconds for name, _, seconds in quality.order_rules(quality.measured(rows), rules)}
-    assert cost["repeated_windows"] > 2 * cost["too_short"], cost
-    hashing = {name for name, rule in rules.items() if "xxhash64" in quality.rejected(rows, rule)._jdf.queryExecution().optimizedPlan().toString()}
-    assert hashing == {"repeated_windows"}
+    cost = {name: x for name, _, x in quality.order_rules(rows, rules)}
+    assert cost["repeated_windows"] > 2 * cost["too_short"] and quality.needs(rules["shouting"]) == {"text", "n_words"}
+    found = quality.kept(rows)
+    top, below = found._jdf.queryExecution().optimizedPlan().toString().split("+- Project", 1)
+    assert "THEN repeated_windows" in top and "xxhash64" in top and "xxhash64" not in below
+    judged = {r.doc_id: r.rejected_by for r in quality.judge(rows).select("doc_id", "rejected_by").collect()}
+    assert {r.doc_id: r.rejected_by for r in found.collect()} == judged and judged[31] is not None and quality.kept(docs(spark, [])).collect() == []
 
 
 def test_quality_plan_has_no_python(spark, sf):
