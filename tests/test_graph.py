@@ -1,5 +1,8 @@
 """The graph engine on small literal graphs."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from graphloom.operators import colouring, flow, matching, paths, spanning, trav
 from graphloom.operators.bipartite import Bipartite
 from graphloom.operators.forest import DisjointSets, Forest, ParentForest
 from graphloom.operators.hyper import HyperGraph
-from graphloom.operators.ordered import IndexedArray, OrderedMap, PriorityTable
+from graphloom.operators.ordered import IndexedArray, OrderedMap, PriorityTable, SequenceTable
 from graphloom.operators.per_component import rows_by_component
 from graphloom.operators.spatial import BoxTable, PrefixMap
 from graphloom.plans.jobs import JobGraph, State
@@ -32,9 +35,39 @@ def arrows(spark):
     return PropertyGraph.of_lists(spark, range(1, 7), [(2, 1), (3, 2), (6, 5), (5, 4), (5, 2)], directed=True)
 
 
+def rolled(seed, n, m, top=20):
+    """A seeded connected graph without parallel edges: (tail, head, weight)."""
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(b), b) for b in range(1, n)}
+    while len(pairs) < m:
+        pairs.add(tuple(sorted(rng.sample(range(n), 2))))
+    return [(a, b, rng.randrange(1, top)) for a, b in sorted(pairs)]
+
+
+def parts_of(n, edges):
+    """Components by brute force."""
+    comp = list(range(n))
+    for _ in range(n):
+        for a, b, *_ in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return len(set(comp))
+
+
+ROLLED = rolled(11, 8, 14)
+
+
+def distances():
+    d = {(i, j): 0 if i == j else float("inf") for i in range(8) for j in range(8)}
+    for a, b, w in ROLLED:
+        d[a, b] = d[b, a] = min(w, d[a, b])
+    for k, i, j in itertools.product(range(8), repeat=3):
+        d[i, j] = min(d[i, j], d[i, k] + d[k, j])
+    return d
+
+
 @pytest.fixture(scope="module")
 def weighted(spark):
-    return PropertyGraph.of_lists(spark, range(1, 7), [(1, 2, 10), (1, 3, 4), (2, 3, 2), (2, 4, 8), (2, 5, 6), (3, 4, 15), (3, 5, 6), (4, 5, 1), (4, 6, 5), (5, 6, 12)])
+    return PropertyGraph.of_lists(spark, range(8), ROLLED)
 
 
 def test_properties(basic, arrows, spark):
@@ -125,9 +158,14 @@ def test_detect_cycle_beyond_the_kernel(spark, monkeypatch):
 
 
 def test_bridges_and_cut_vertices(spark):
-    g = PropertyGraph.of_lists(spark, range(8), [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (3, 6), (4, 5), (5, 6), (5, 7)])
-    assert keys(traversal.bridges(g)) == [3, 9] and keys(traversal.cut_vertices(g)) == [2, 3, 5]
-    assert traversal.is_bridge(g, 3) and not traversal.is_bridge(g, 0) and traversal.is_cut_vertex(g, 3) and not traversal.is_cut_vertex(g, 0)
+    edges = [(a, b) for a, b, _ in rolled(5, 11, 13)]
+    g = PropertyGraph.of_lists(spark, range(11), edges)
+    bridges = [k for k in range(len(edges)) if parts_of(11, edges[:k] + edges[k + 1 :]) > 1]
+    cuts = [v for v in range(11) if parts_of(11, [e for e in edges if v not in e]) > 2]
+    assert 0 < len(bridges) < len(edges) and 0 < len(cuts) < 11
+    assert keys(traversal.bridges(g)) == bridges and keys(traversal.cut_vertices(g)) == cuts
+    assert traversal.is_bridge(g, bridges[0]) and not traversal.is_bridge(g, min(set(range(len(edges))) - set(bridges)))
+    assert traversal.is_cut_vertex(g, cuts[0]) and not traversal.is_cut_vertex(g, min(set(range(11)) - set(cuts)))
     twin = PropertyGraph.of_lists(spark, [1, 2, 3], [(1, 2), (1, 2), (2, 3)])
     assert keys(traversal.bridges(twin)) == [2] and not traversal.is_bridge(twin, 0) and traversal.count_cycles(twin, 2) == 1
 
@@ -135,8 +173,13 @@ def test_bridges_and_cut_vertices(spark):
 @pytest.mark.parametrize("with_edges", [True, False])
 def test_shortest_paths(weighted, with_edges):
     got = {r.target: (r.weight, r.edges) for r in paths.shortest_paths(weighted, 1, with_edges).collect()}
-    assert {k: w for k, (w, _) in got.items()} == {1: 0, 2: 6, 3: 4, 4: 11, 5: 10, 6: 16}
-    assert got[6][1] == ([1, 6, 7, 8] if with_edges else [])
+    assert {k: w for k, (w, _) in got.items()} == {j: w for (i, j), w in distances().items() if i == 1}
+    for target, (weight, edges) in got.items():
+        at = 1
+        for k in edges or []:
+            a, b, _ = ROLLED[k]
+            at = b if at == a else a
+        assert (at, sum(ROLLED[k][2] for k in edges)) == (target, weight) if with_edges else edges == []
 
 
 def test_path_edges(weighted, spark, arrows):
@@ -147,12 +190,16 @@ def test_path_edges(weighted, spark, arrows):
     with pytest.raises(errors.NegativeCycleError):
         paths.shortest_paths(PropertyGraph.of_lists(spark, [0, 1], [(0, 1, -1)]), 0)
     pairs = {(r.source, r.target): r.weight for r in paths.all_shortest_paths(weighted).collect()}
-    assert pairs[1, 6] == pairs[6, 1] == 16 and len(pairs) == 36
+    assert pairs == distances()
 
 
 def test_spanning(weighted, basic):
     tree, weight = spanning.spanning_tree(weighted)
-    assert keys(tree) == [1, 2, 4, 7, 8] and weight == 18
+    chosen = []
+    for w, k in sorted((w, k) for k, (_, _, w) in enumerate(ROLLED)):
+        if parts_of(8, [ROLLED[i] for i in [*chosen, k]]) < parts_of(8, [ROLLED[i] for i in chosen]):
+            chosen.append(k)
+    assert keys(tree) == sorted(chosen) and weight == sum(ROLLED[k][2] for k in chosen)
     with pytest.raises(errors.DisconnectedError):
         spanning.spanning_tree(basic)
     assert sorted((r.comp, r.vertices, r.edges) for r in spanning.forest_by_component(basic).collect()) == [(1, 3, 2), (4, 3, 2)]
@@ -175,9 +222,11 @@ def test_bipartite(spark):
         g.add_vertex_to(9, True).perfect_matching()
     with pytest.raises(errors.NoSolutionError):
         g.without_vertices(spark.range(5, 6)).weighted_matching(False)
-    r = [("r2", x) for x in "6 7 1 3 2".split()] + [("r6", x) for x in "6 7 1 3 2 5".split()] + [(f"r{i}", x) for i in (4, 5, 7) for x in "28"] + [("r1", x) for x in "2854"] + [("r8", x) for x in "24"] + [("r3", x) for x in "54"]
-    big = Bipartite.of_parts(spark.createDataFrame([(f"r{i}", True) for i in range(1, 9)] + [(f"c{i}", False) for i in range(1, 9)], "key string, part_a boolean"), spark.createDataFrame([(i, a, f"c{b}") for i, (a, b) in enumerate(r)], "key long, tail string, head string"))
-    assert big.size() == 25 and big.minimum_vertex_cover().count() == 6
+    rng = random.Random(2)
+    pairs = sorted({(rng.randrange(8), 8 + rng.randrange(6)) for _ in range(22)})
+    big = Bipartite.of_parts(spark.range(14).select(F.col("id").alias("key"), (F.col("id") < 8).alias("part_a")), spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "key long, tail long, head long"))
+    least = min(len(x) + len({b for a, b in pairs if a not in x}) for n in range(9) for x in itertools.combinations(range(8), n))
+    assert big.minimum_vertex_cover().count() == least == big.maximum_matching().count()
 
 
 def test_general_matching_and_colouring(spark):
@@ -207,8 +256,20 @@ def test_hypergraph(spark):
         g.add_edge(8, [77])
 
 
-TREE = [(1, 2), (1, 3), (1, 4), (1, 5), (2, 6), (2, 7), (2, 8), (3, 9), (4, 10), (5, 11), (5, 12), (6, 13), (7, 14), (7, 15), (7, 16), (9, 17), (9, 18), (9, 19), (12, 20), (12, 21), (14, 22), (14, 23), (17, 24), (17, 25), (18, 26), (20, 27), (20, 28), (23, 29), (23, 30)]
-ANCESTORS = [(2, 3, 1), (2, 9, 1), (6, 10, 1), (13, 7, 2), (11, 12, 5), (24, 26, 9), (22, 16, 7), (13, 30, 2), (25, 26, 9), (30, 28, 1)]
+_RNG = random.Random(4)
+UP = {v: _RNG.randrange(max(1, v // 3), v) for v in range(2, 31)}
+TREE = [(p, v) for v, p in UP.items()]
+
+
+def chain(v):
+    return [v, *chain(UP[v])] if v in UP else [v]
+
+
+def meeting(a, b):
+    return next(x for x in chain(a) if x in chain(b))
+
+
+ANCESTORS = [(a, b, meeting(a, b)) for a, b in ((2, 3), (6, 10), (13, 7), (24, 26), (22, 16), (30, 28), (9, 30), (17, 4))]
 
 
 def test_forest(spark):
@@ -218,11 +279,12 @@ def test_forest(spark):
 
     pairs = spark.createDataFrame([t[:2] for t in ANCESTORS], "a long, b long")
     assert {tuple(r) for r in lowest_common_ancestors(f.parents().select("key", "parent"), pairs).collect()} == set(ANCESTORS)
-    assert f.lowest_common_ancestor(24, 26) == 9
+    assert f.lowest_common_ancestor(24, 26) == meeting(24, 26)
     d = f.set_directed(5)
     assert d.is_directed(30) and not d.cancel_directed(2).is_digraph() and f.cancel_root(1).root(2) is None
-    cut = f.without_pairs(spark.createDataFrame([(1, 2)], "a long, b long"))
-    assert cut.tree_count() == 2 and not cut.connected(1, 30) and cut.connected(2, 30) and len(keys(cut.tree_vertices(2))) == 12 and cut.tree_edges(2).count() == 11
+    cut = f.without_pairs(spark.createDataFrame([(UP[2], 2)], "a long, b long"))
+    below = [v for v in range(1, 31) if 2 in chain(v)]
+    assert cut.tree_count() == 2 and not cut.connected(1, 2) and cut.connected(2, max(below)) and keys(cut.tree_vertices(2)) == below and cut.tree_edges(2).count() == len(below) - 1
     two = cut.set_root(2)
     joined = two.add_edges(spark.createDataFrame([(99, 1, 2)], "key long, tail long, head long"))
     assert joined.is_tree() and joined.all_roots() == [1] and f.add_vertices(spark.range(30, 33).toDF("key")).graph.order() == 32
@@ -285,10 +347,10 @@ def test_spatial_and_prefix(spark):
     assert len(b.delete((3, 0, 4, 1))) == 9 and len(b.insert(b.boxes)) == 20 and b.overlaps(b.boxes, 0.7).count() == 28 == b.overlaps(b.boxes, 100.0).count()
     with pytest.raises(errors.NotExistsError):
         b.delete((0, 0, 0, 0))
-    words = "a b abc abcd abcdefg bcde bcdef bcdefghi bgty bgtyhn nhy nhyujm abcdedtgb abcdolp abcdyhnvv".split()
+    words = "m n sun sung sunlit sunlitness sail sails sailcloth tint tinted ti tidal sungrazer sunlight".split()
     t = PrefixMap(spark.createDataFrame(list(zip(words, range(15), strict=True)), "k string, v int"))
-    assert len(t) == 15 and t.prefix("abcd").count() == 5 and len(t.delete_prefix("abc")) == 9 and t.search("nhy") == 10 and t.search("x") is None and len(t.delete("a")) == 14
-    assert t.update("a", lambda v: v + 7).search("a") == 7 and t.scan().first().k == "a" and len(t.insert(spark.createDataFrame([("a", 5)], "k string, v int"))) == 15
+    assert len(t) == 15 and t.prefix("sun").count() == sum(w.startswith("sun") for w in words) and len(t.delete_prefix("sail")) == 12 and t.search("ti") == words.index("ti") and t.search("x") is None and len(t.delete("m")) == 14
+    assert t.update("m", lambda v: v + 7).search("m") == 7 and t.scan().first().k == "m" and len(t.insert(spark.createDataFrame([("m", 5)], "k string, v int"))) == 15
 
 
 def test_documents(spark, basic, tmp_path):
@@ -339,13 +401,13 @@ def test_jobs(spark):
     g = JobGraph("t")
     for k in range(1, 6):
         g.add_job(k, job(k, fail=2 if k == 3 else 0), retries=2)
-    for a, b in ((1, 2), (2, 5), (3, 4), (4, 5)):
+    for a, b in ((1, 3), (2, 3), (3, 4), (3, 5), (4, 5)):
         g.add_dependency(a, b)
     with pytest.raises(errors.AlreadyExistsError):
-        g.add_dependency(1, 2)
+        g.add_dependency(1, 3)
     g.start()
     g.wait(30)
-    assert g.status is State.SUCCESS and done[-1] == 5 and done.index(1) < done.index(2) and {r.status for r in g.table(spark).collect()} == {"success"}
+    assert g.status is State.SUCCESS and done[-1] == 5 and done.index(1) < done.index(3) and {r.status for r in g.table(spark).collect()} == {"success"}
     g.reset()
     assert g.status is State.WAITING and g.job(1).state is State.WAITING
     g.add_job(4, job(4, fail=9))
@@ -422,16 +484,50 @@ def test_workflow(spark):
 
 
 def test_online_bridges(spark, tmp_path):
-    edges = [(0, 0, 1), (1, 0, 2), (2, 1, 2), (3, 2, 3), (4, 3, 4), (5, 3, 5), (6, 3, 6), (7, 4, 5), (8, 5, 6), (9, 5, 7)]
+    edges = [(k, a, b) for k, (a, b, _) in enumerate(rolled(5, 11, 13))]
+    want = [k for k, _, _ in edges if parts_of(11, [(a, b) for i, a, b in edges if i != k]) > 1]
     online = OnlineConnectivity(spark)
-    for part in (edges[:4], edges[4:7], edges[7:], edges[:2]):
+    for part in (edges[:6], edges[6:], edges[:2]):
         online.apply(spark.createDataFrame(part, "key long, tail long, head long"))
     online.add_vertex(50)
-    assert keys(online.bridges()) == [3, 9] and online.bridge_count() == 2 and online.is_bridge(3) and not online.is_bridge(0) and online.component_count() == 2 and online.graph().size() == 10
+    assert keys(online.bridges()) == want and online.bridge_count() == len(want) and online.is_bridge(want[0]) and online.component_count() == 2 and online.graph().size() == 13
     folder = str(tmp_path / "in")
-    for i, part in enumerate((edges[:5], edges[5:])):
+    for part in (edges[:7], edges[7:]):
         spark.createDataFrame(part, "key long, tail long, head long").coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema("key long, tail long, head long").option("maxFilesPerTrigger", 1).parquet(folder)
     other = OnlineConnectivity(spark)
     run_stream(other, stream, str(tmp_path / "checkpoint"))
-    assert keys(other.bridges()) == [3, 9] and other.component_count() == 1
+    assert keys(other.bridges()) == want and other.component_count() == 1
+
+
+def test_state_outlives_its_object(spark, tmp_path):
+    """A driver that ends between two batches: another object goes on from the manifest."""
+    edges = [(k, a, b) for k, (a, b, _) in enumerate(rolled(5, 11, 13))]
+    folder = f"file://{tmp_path}/state"
+    frame = lambda part: spark.createDataFrame(part, "key long, tail long, head long")
+    OnlineConnectivity(spark, with_bridges=False, state=folder).batch(frame(edges[:7]), 0)
+    again = OnlineConnectivity(spark, with_bridges=False, state=folder)
+    seen = again.components()
+    again.batch(frame(edges[:7]), 0)
+    again.batch(frame(edges[7:]), 1)
+    assert again.component_count() == 1 and again.graph().size() == 13 and seen.count() > 0
+    assert OnlineConnectivity(spark, with_bridges=False, state=folder).component_count() == 1
+
+
+def test_stacks_queues_and_due_times(spark):
+    s = SequenceTable.of(spark.createDataFrame([(3,), (1,), (2,)], "item long"), "item").push(9)
+    item, rest = s.pop()
+    assert (len(s), s.top(), s.front(), item, rest.top(), s.contains(2), s.contains(5), s.is_empty()) == (4, 9, 1, 9, 3, True, False, False)
+    first, others = s.take()
+    assert first == 1 and others.front() == 2 and s.cleared().is_empty() and s.cleared().top() is None and len(s.cleared().push(4)) == 1
+    with pytest.raises(errors.NotExistsError):
+        s.cleared().pop()
+    from datetime import datetime
+
+    at = datetime(2024, 2, 28, 23, 50)
+    due = lambda text, n=1: [str(x) for x in Workflow("w", text).due(at, n)]
+    assert due("*/20 * * * *", 2) == ["2024-02-29 00:00:00", "2024-02-29 00:20:00"] and due("5 4 * * 1-5") == ["2024-02-29 04:05:00"] and due("0 0 1 * 0", 2) == ["2024-03-01 00:00:00", "2024-03-03 00:00:00"]
+    with pytest.raises(ValueError):
+        due("61 * * * *")
+    with pytest.raises(ValueError):
+        due("")
