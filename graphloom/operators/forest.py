@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import CycleError, NotExistsError
 from ..graph import PropertyGraph, edge_frame, vertex_frame
-from ..scratch import materialise
+from ..scratch import discard, materialise
 from .components import star_components
 from .traversal import breadth_first, components
 
@@ -34,6 +34,20 @@ def ancestors(parents: DataFrame) -> DataFrame:
     return closure
 
 
+def to_the_top(nodes: DataFrame) -> DataFrame:
+    """``(key, root, total)`` for a table ``(key, parent, weight)``: weights from the root to each vertex, both
+    included. Pointer doubling that carries the sums: one row for each vertex in each round."""
+    state = materialise(nodes.select("key", F.coalesce("parent", "key").alias("root"), F.col("weight").alias("total"), F.col("parent").isNull().alias("done")), "top")
+    while not state.filter("not done").isEmpty():
+        up = state.select(F.col("key").alias("root"), F.col("root").alias("next"), F.col("total").alias("more"), F.col("done").alias("last"))
+        # A vertex's total goes up to, but not with, the one it points to, until that one's goes to its root.
+        step = state.filter("not done").join(up, "root").select("key", F.col("next").alias("root"), (F.coalesce("total", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("total"), F.col("last").alias("done"))
+        new = materialise(state.filter("done").unionByName(step), "top")
+        discard(state)
+        state = new
+    return state.drop("done")
+
+
 def lowest_common_ancestors(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(a, b, ancestor)`` of ``pairs (a, b)``; null where they are in different trees."""
     up = materialise(ancestors(parents), "ancestors")
@@ -230,7 +244,7 @@ class ParentForest:
 
     def path_sums(self) -> DataFrame:
         """``(key, total)``: weights from the root to each vertex, both included."""
-        return self.paths().groupBy(F.col("v").alias("key")).agg(F.sum("weight").alias("total"))
+        return to_the_top(self.nodes).select("key", "total")
 
     def path_sum(self, key):
         return self.path(key).agg(F.sum("weight")).first()[0]
@@ -244,8 +258,7 @@ class ParentForest:
 
     def roots(self) -> DataFrame:
         """``(key, root)`` of every vertex."""
-        up = ancestors(self.nodes.select("key", "parent"))
-        return up.groupBy("key").agg(F.max_by("ancestor", "distance").alias("root"))
+        return to_the_top(self.nodes).select("key", "root")
 
     def find_root(self, key):
         row = self.roots().filter(F.col("key") == F.lit(key)).collect()

@@ -52,12 +52,16 @@ class OrderedMap:
         both = self.entries.select("k", "v", F.lit(1).alias("kind"), F.lit(None).cast(dict(self.entries.dtypes)["k"]).alias("probe")).unionByName(probes.select(F.col("probe").alias("k"), F.lit(None).cast(dict(self.entries.dtypes)["v"]).alias("v"), F.lit(0).alias("kind"), "probe"))
         ranged = with_rank(both, "k", "kind", name="at").withColumn("part", F.floor(F.col("at") / 100_000))
         heads = ranged.filter("kind = 1").groupBy("part").agg(F.min(F.struct("at", "k", "v")).alias("head"))
-        following = ranged.select("part").distinct().join(heads, "part", "left")
-        following = following.select("part", F.last("head", ignorenulls=True).over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+        # The first key after a part: of its own stretch of 10,000 parts, or of the stretches behind it.
+        parts = ranged.select("part").distinct().join(heads, "part", "left").withColumn("stretch", F.floor(F.col("part") / 10_000))
+        behind = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        stretches = parts.groupBy("stretch").agg(F.min("head").alias("first"))
+        stretches = stretches.select("stretch", F.last("first", ignorenulls=True).over(behind(Window.orderBy(F.desc("stretch")))).alias("far"))
+        following = parts.withColumn("near", F.last("head", ignorenulls=True).over(behind(Window.partitionBy("stretch").orderBy(F.desc("part"))))).join(stretches, "stretch").select("part", F.coalesce("near", "far").alias("later"))
         # Backwards, as a frame that only grows is linear and one that shrinks is not.
         within = Window.partitionBy("part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
         found = ranged.withColumn("own", F.last(F.when(F.col("kind") == 1, F.struct("at", "k", "v")), ignorenulls=True).over(within)).filter("kind = 0")
-        found = found.join(F.broadcast(following), "part").withColumn("hit", F.coalesce("own", "later"))
+        found = found.join(following, "part").withColumn("hit", F.coalesce("own", "later"))
         return found.select("probe", F.col("hit.k").alias("k"), F.col("hit.v").alias("v"), F.coalesce(F.col("hit.k") == F.col("probe"), F.lit(False)).alias("exact"))
 
     def first(self) -> Row | None:

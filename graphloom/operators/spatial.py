@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -44,6 +45,10 @@ def centre_distance(a, b) -> Column:
     return F.sqrt(F.pow(a[0] + a[2] - b[0] - b[2], 2) + F.pow(a[1] + a[3] - b[1] - b[3], 2)) / 2
 
 
+#: Probe boxes that are sent to all tasks at once.
+PROBES = 10_000
+
+
 @dataclass(frozen=True)
 class BoxTable:
     """``boxes (id, minx, miny, maxx, maxy, data ...)``."""
@@ -91,10 +96,12 @@ class BoxTable:
 
     def nearest_each(self, probes: DataFrame, k: int) -> DataFrame:
         """``(probe, id, distance, place)``: the k nearest of each of a stated set of probe boxes
-        ``(probe, minx ...)``. Probes are the query set, met with all boxes; each task keeps k per
-        probe before the shuffle."""
+        ``(probe, minx ...)``. Probes are the query set, met with all boxes in blocks of about PROBES; each
+        task keeps k per probe before the shuffle."""
         p = probes.select("probe", *(F.col(c).alias(f"p_{c}") for c in BOX))
-        d = self.boxes.crossJoin(F.broadcast(p)).select("probe", "id", self.distance(columns_of(), columns_of("p_")).alias("distance"))
+        blocks = max(1, -(-p.count() // PROBES))
+        met = [self.boxes.crossJoin(F.broadcast(p.filter(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == i))) for i in range(blocks)]
+        d = reduce(DataFrame.unionByName, met).select("probe", "id", self.distance(columns_of(), columns_of("p_")).alias("distance"))
         place = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "id"))
         return d.withColumn("place", place).filter(F.col("place") <= k)
 

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names; a temporary one only in local mode, where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("graphloom.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("graphloom.scratch.dir", root)
     return root

@@ -531,3 +531,9 @@ def test_stacks_queues_and_due_times(spark):
         due("61 * * * *")
     with pytest.raises(ValueError):
         due("")
+
+
+def test_a_long_chain_keeps_one_row_a_vertex(spark):
+    n = 20_000
+    f = ParentForest(spark.range(n).select(F.col("id").alias("key"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(None).cast("string").alias("value"), F.lit(1.0).alias("weight")))
+    assert f.roots().filter("root = 0").count() == n and f.path_sums().filter("total = key + 1").count() == n
