@@ -74,7 +74,7 @@ def graph_reads(spark, sf):
 
 
 @query(rows(_PICK, edges="""SELECT e.key || '|' || e.tail || '|' || e.head || '|' || CASE WHEN e.key = k.key THEN 9 ELSE CAST(e.weight AS BIGINT) END || '|' || CASE WHEN e.key = k.key THEN 'r' ELSE '-' END || '|' ||
-    CASE WHEN e.key = k.key THEN 'd' ELSE '-' END || '|-' FROM e, k WHERE NOT (e.tail = e.head)""", added="SELECT '-5|100|' || v || '|3|x|-|m' FROM a", emptied="SELECT 0", less="SELECT count(*) - 1 FROM e", least="SELECT n_nationkey FROM nation"))
+    CASE WHEN e.key = k.key THEN 'd' ELSE '-' END || '|-' FROM e, k WHERE NOT (e.tail = e.head)""", added="SELECT '-5|100|' || v || '|3|x|-|m' FROM a", emptied="SELECT 0", less="SELECT count(*) FROM e, k WHERE NOT ((e.tail = k.tail AND e.head = k.head) OR (e.tail = k.head AND e.head = k.tail))", least="SELECT n_nationkey FROM nation"))
 def edge_changes(spark, sf):
     g, v, e = _trade(spark, sf)
     loops = [r.key for r in g.edges.filter("tail = head").select("key").collect()]
