@@ -122,9 +122,12 @@ def needs(rule: Column) -> set[str]:
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``rows`` rows, first by a hash: the same in each run, from anywhere in the table."""
+    """The rows with the ``rows`` smallest hashes, from anywhere in the table and the same in each run (rows
+    equal in id and text come together). Only hashes are sorted and collected; texts stay where they are."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return slim.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows)
+    hashed = F.xxhash64("doc_id", "text")
+    least = slim.select(hashed.alias("h")).orderBy("h").limit(rows).collect()
+    return slim.filter(hashed <= least[-1].h) if least else slim.limit(0)
 
 
 def order_rules(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
