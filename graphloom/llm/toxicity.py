@@ -16,7 +16,8 @@ words before it, counts as quoted and as nothing else: it adds neither to the ev
 density. One with a second-person word or another hit within five words counts as aimed.
 
 Scores use the text only - not labels, lang, source or doc_id. Null and empty texts get the score
-of a text without hits. Repeated rows are scored one by one. With no labelled rows at all every
+of a text without hits. Repeated rows and null ids are scored one by one, very long texts whole; an empty
+table gives an empty result; a null id is in no fold. Other columns are not read. With no labelled rows at all every
 score is 0.5 less a hair, so nothing is rejected.
 """
 
@@ -293,4 +294,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
