@@ -12,7 +12,8 @@ does not depend on the size of the benchmark: beyond one block there are more pa
 
 Words are runs without ASCII white space, A-Z lower-cased. An item with fewer than five words is
 one shingle of its own length. Null or empty items and documents match nothing. Repeated items or
-documents each give their own rows.
+documents each give their own rows. Very long texts are searched whole; empty tables of either kind give
+an empty result, and ``clean`` then keeps all. Other columns are not read, and kept by ``clean``.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Only windows that hold some template shingle are hashed: others contain nothing
 
 The template table is a parameter of bounded size (``MAX_TEMPLATE_SHINGLES``), not data.
 
-Null or empty texts match nothing; repeated rows with one doc_id give one row per license.
+Null or empty texts match nothing; repeated rows with one doc_id (rows without one are taken as one
+document) give one row per license. Very long texts are windowed whole; an empty table gives an empty
+result; other columns are not read. Ties between windows go to the first.
 """
 
 from __future__ import annotations

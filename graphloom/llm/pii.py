@@ -10,7 +10,9 @@ Further kinds: ``url`` (scheme anchors), ``iban`` (cue ``iban``, mod-97), ``ssn`
 ``account`` (cues ``account``, ``acct``, ``konto``, ``cuenta``, ``compte`` before 6 to 17 digits),
 ``address`` (a house number and one to four capitalised words up to a street word).
 
-Null or empty texts have no spans; offsets count code points, ends exclusive.
+Null or empty texts have no spans; offsets count code points, ends exclusive. Every row gives one row,
+repeated rows and null ids too; very long texts are read whole, in time linear in their length; an empty
+table gives an empty result. Other columns are not read by ``scan`` and are kept by ``redacted``.
 """
 
 from __future__ import annotations

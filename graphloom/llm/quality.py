@@ -15,7 +15,8 @@ bound by a one-element ``transform``, so they are computed once for each row.
 Measures of a text (words are runs without ASCII white space): ``n_words``, ``word_chars``,
 ``n_symbols``, ``n_dup_lines`` (lines with a word, equal to an earlier line), ``n_repeat_words``
 (words covered by 8-word windows found twice or more in the text). A null or empty text has no
-words and fails the base rule; repeated rows are judged one by one.
+words and fails the base rule; repeated rows and null ids are judged one by one, very long texts whole; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ itself. Findings of deeper layers have the path of their decoders in front of th
 ``base64>assign``. One that another layer has shown at the same place with the same text is not
 repeated; several in one compressed stretch have equal spans and are listed one by one.
 
-Null or empty texts have no findings. Nothing is bounded: a layer beyond ``HELD`` bytes is kept in a
+Null or empty texts have no findings. Every row gives one row, repeated rows and null ids too; an empty
+table gives an empty result; other columns are not read. Nothing is bounded: a layer beyond ``HELD`` bytes is kept in a
 temporary file and scanned from there. A compressed layer equal to one it came from is not taken again.
 """
 

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -655,9 +656,58 @@ def test_containment_equals_brute_force(spark):
     assert decontamination.find_items(docs(spark, []), bench).collect() == [] and decontamination.find_items(frame, bench.limit(0)).collect() == []
 
 
+# -- edges of the scans --------------------------------------------------------------------------
+
+ROWS = [*EDGE, (None, "mail a@b.de, token=abcdefgh, Released under the MIT License"), (None, None), (5, EDGE[0][1])]
+
+
+def test_scans_take_any_rows_and_columns(spark):
+    items = spark.createDataFrame([(1, "d e f g h i"), (2, None)], "item_id long, text string")
+    model = toxicity.Model(toxicity.Lexicon({"token": 5.0}, {}), np.ones(len(toxicity.FEATURES)), -1.0)
+    scans = {
+        "pii": pii.scan, "secrets": secrets.scan, "quality": quality.judge, "licenses": licenses.find_licenses,
+        "toxicity": lambda d: toxicity.score(d, model), "items": lambda d: decontamination.find_items(d, items),
+    }
+    for name, scan in scans.items():
+        plain = scan(docs(spark, ROWS))
+        empty = scan(docs(spark, []))
+        assert empty.collect() == [] and empty.schema == plain.schema, name
+        clashing = {c: F.lit("clash") for c in [*plain.columns, "w", "window", "band", "value", "h", "m", "size", "elements"] if c not in ("doc_id", "text")}
+        rows = sorted(map(str, plain.collect()))
+        twice = sorted(map(str, scan(docs(spark, ROWS + ROWS).withColumns(clashing)).collect()))
+        assert twice == (rows if name == "licenses" else sorted(rows + rows)), name
+        assert len(rows) == {"licenses": 1, "items": 4}.get(name, len(ROWS)), (name, rows)
+
+
+@pytest.mark.parametrize("text", ["1." * 300_000, "a@" * 300_000, "+1" * 300_000, "1 " * 300_000, "a." * 300_000 + "@", "%" + "ab " * 200_000, "\\u" + "ab " * 200_000, "token=" * 100_000, "ab" * 300_000])
+def test_long_hostile_texts_take_linear_time(text):
+    took = []
+    for size in (len(text) // 4, len(text)):
+        start = time.process_time()
+        pii.find_spans(text[:size])
+        secrets.find_secrets(text[:size])
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
 # -- pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_edges(spark, sf):
+    import corpus_pipeline as cp
+
+    stage = dict(cp.STAGES)
+    for rows in ([], ROWS):
+        frame = docs(spark, rows).withColumns({c: F.lit("clash") for c in ("score", "component_id", "toxic", "item_id", "spans", "start")})
+        left = stage["near_duplicates"](spark, frame, sf)
+        assert left.columns == frame.columns and left.count() == (8 + 1 if rows else 0)
+        for name in ("toxicity", "decontamination", "pii"):
+            out = stage[name](spark, frame, sf)
+            assert out.columns == frame.columns and out.count() == len(rows), name
+        pieces = stage["packing"](spark, frame, sf).collect()
+        assert sum(p.length for p in pieces if p.start == 0) <= sum(p.length for p in pieces) and len([p for p in pieces if p.start == 0]) == len(rows)
+
+
 def test_pipeline_stages_against_brute_force(spark, sf):
     import corpus_pipeline as cp
 
