@@ -183,15 +183,15 @@ def flows_and_disjoint_paths(spark, sf):
     return answer(spark, {}, {"flow": int(flow.max_flow(g, low, high, flow_kernels.augmenting_flow)), "edge_disjoint": flow.edge_disjoint_paths(g, low, high), "vertex_disjoint": flow.vertex_disjoint_paths(g, low, high)})
 
 
-@query("""WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 24), e AS (SELECT a.k AS t, b.k AS h FROM n a JOIN n b ON a.k < b.k AND (a.k + b.k) % 3 <> 0)
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation UNION ALL SELECT 25 + r_regionkey FROM region), e AS (SELECT a.k AS t, b.k AS h FROM n a JOIN n b ON a.k < b.k AND (a.k + b.k) % 3 <> 0)
 SELECT 'bipartite' AS kind, (SELECT count(*) // 2 FROM n) AS pairs, 0::BIGINT AS wrong UNION ALL SELECT 'general', (SELECT count(*) // 2 FROM n), 0 UNION ALL SELECT 'edge colours', (SELECT count(*) FROM e), 0""")
 def perfect_matchings(spark, sf):
-    """Nations whose numbers' sum is no multiple of 3; pairs that are matched (edges that are coloured), and how many of them are wrong."""
-    n = P.read(spark, sf, "nation").filter("n_nationkey < 24").select(F.col("n_nationkey").cast("long").alias("key"))
+    """Nations and regions (numbered on after them) whose numbers' sum is no multiple of 3; pairs that are matched (edges that are coloured), and how many of them are wrong."""
+    n = P.read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key")).union(P.read(spark, sf, "region").select((F.col("r_regionkey") + 25).cast("long")))
     e = n.toDF("tail").join(n.toDF("head"), F.expr("tail < head and (tail + head) % 3 <> 0")).withColumn("key", F.col("tail") * 100 + F.col("head"))
     g = held(PropertyGraph.of(n, e, validate=False))
-    across = g.edges.filter("tail < 12 and head >= 12")
-    b = Bipartite.of_parts(g.vertices.withColumn("part_a", F.col("key") < 12), across)
+    across = g.edges.filter("tail < 15 and head >= 15")
+    b = Bipartite.of_parts(g.vertices.withColumn("part_a", F.col("key") < 15), across)
 
     def checked(kind, m):
         m = [(min(r.a, r.b), max(r.a, r.b)) for r in m.select("a", "b").collect()]

@@ -334,17 +334,20 @@ def general_matching(spark, sf):
     return spark.createDataFrame([(n, matching.general_matching(g).count()) for n, g in named.items()], "name string, edges int")
 
 
-@query("""WITH m AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, (31 * a.n_nationkey + 17 * b.n_nationkey + 7 * a.n_nationkey * b.n_nationkey) % 97 AS w FROM nation a, nation b WHERE a.n_nationkey < 4 AND b.n_nationkey BETWEEN 4 AND 7)
-SELECT min(x.w + y.w + z.w + u.w)::DOUBLE AS least, max(x.w + y.w + z.w + u.w)::DOUBLE AS greatest FROM m x, m y, m z, m u
-WHERE x.a = 0 AND y.a = 1 AND z.a = 2 AND u.a = 3 AND x.b NOT IN (y.b, z.b, u.b) AND y.b NOT IN (z.b, u.b) AND z.b <> u.b""")
+@query("""WITH m AS (SELECT n_regionkey AS a, o_orderpriority[1]::INT AS b, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT min(v.w + x.w + y.w + z.w + u.w)::DOUBLE AS least, max(v.w + x.w + y.w + z.w + u.w)::DOUBLE AS greatest FROM m v, m x, m y, m z, m u
+WHERE v.a = 0 AND x.a = 1 AND y.a = 2 AND z.a = 3 AND u.a = 4 AND v.b NOT IN (x.b, y.b, z.b, u.b) AND x.b NOT IN (y.b, z.b, u.b) AND y.b NOT IN (z.b, u.b) AND z.b <> u.b""")
 def weighted_matching(spark, sf):
-    """Four nations with four others, weighed by a polynomial of their numbers."""
+    """Regions (0 to 4) with order priorities (11 to 15), weighed by the orders that a region's customers placed at a priority."""
     from ..operators.bipartite import Bipartite
 
-    v = P.read(spark, sf, "nation").filter("n_nationkey < 8").select(F.col("n_nationkey").cast("long").alias("key"), (F.col("n_nationkey") < 4).alias("part_a"))
-    e = v.filter("part_a").select(F.col("key").alias("tail")).join(v.filter("not part_a").select(F.col("key").alias("head")), F.lit(True))
-    e = e.select((F.col("tail") * 8 + F.col("head")).alias("key"), "tail", "head", F.expr("double((31 * tail + 17 * head + 7 * tail * head) % 97)").alias("weight"))
-    g = Bipartite.of(materialise(v, "parts"), materialise(e, "edges"))
+    placed = P.read(spark, sf, "orders").select("o_custkey", (F.substring("o_orderpriority", 1, 1).cast("long") + 10).alias("head"))
+    placed = placed.join(P.read(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    placed = placed.join(P.read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("tail")), F.col("c_nationkey") == F.col("n_nationkey"))
+    e = placed.groupBy("tail", "head").agg(F.count("*").cast("double").alias("weight")).withColumn("key", F.col("tail") * 100 + F.col("head"))
+    e = materialise(e, "edges")
+    v = e.select(F.explode(F.array("tail", "head")).alias("key")).distinct().withColumn("part_a", F.col("key") < 5)
+    g = Bipartite.of(materialise(v, "parts"), e)
     total = lambda m: matching.weighted_matching(g, m).agg(F.sum("weight")).first()[0]
     return spark.createDataFrame([(total(False), total(True))], "least double, greatest double")
 
