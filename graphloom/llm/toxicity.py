@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,7 +49,7 @@ CACHE_WORDS = 200_000
 FLUSH_ROWS = 20_000
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
-QUOTES = re.compile("[\"“”„«»‹›]")
+QUOTES, BREAK = re.compile("[\"“”„«»‹›]"), re.compile("\n")
 REPORTING = frozenset("said says called calls wrote quote quoted word term insult sagte nannte schrieb wort dit appelle mot dijo llama palabra".split())
 ADDRESS = frozenset("you your youre u are ihr du dich dein sie tu toi vous ton te eres usted".split())
 
@@ -135,15 +136,15 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         words = [(m.group(), m.start()) for m in WORD.finditer(low)]
         where = [i for i, (w, _) in enumerate(words) if w in found]
         spoken = []
-        marks = [m.start() for m in QUOTES.finditer(low)]
+        marks, breaks = ([m.start() for m in p.finditer(low)] for p in (QUOTES, BREAK))
         hit_at = set(where)
         for i in where:
             kind, _ = found[words[i][0]]
             start = words[i][1]
-            line = low.rfind("\n", 0, start)
+            line = breaks[at - 1] if (at := bisect_left(breaks, start)) else -1
             before = {w for w, _ in words[max(0, i - WINDOW) : i]}
             around = before | {w for w, _ in words[i + 1 : i + 1 + WINDOW]}
-            open_quote = sum(line < q < start for q in marks) % 2 == 1 if marks else False
+            open_quote = (bisect_left(marks, start) - bisect_right(marks, line)) % 2 == 1
             if open_quote or before & REPORTING:
                 counts["quoted"] += 1
                 continue
