@@ -37,7 +37,7 @@ BLOCK, BLOCK_BYTES = 4096, 4 << 20
 MARKERS = {"user": "user", "human": "user", "customer": "user", "me": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "agent": "assistant", "system": "system", "tool": "tool"}
 _MARKER = re.compile(r"^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)[*]*\s*", re.I | re.A)
 _MARKER_SQL = r"(?i)^[\s#*>\[<|]*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*\s*(?::|\n)"
-_TURN_START = re.compile(r"^[^\S\n]*[#*>\[<| \t]*(?:" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*[^\S\n]*(?::|\n)", re.I | re.M)
+_TURN_START = re.compile(r"^[^\S\n]*(?:[#*>\[<|][#*>\[<| \t]*)?(?:" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")[\]>|*]*[^\S\n]*(?::|\n)", re.I | re.M)
 LENGTHS, LINES = 20, 4
 
 TURNS = "part int, blk long, idx long, conv_id long, turn long, piece long, text string"

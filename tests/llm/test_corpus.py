@@ -265,6 +265,16 @@ def test_context_separates_quotation():
     assert f("you idiot")["aimed"] > 0 and f("you idi0t")["fuzzy"] > 0 and f(None)["density"] == 0
 
 
+def test_hits_and_quotes_of_long_lines_take_linear_time():
+    lexicon = toxicity.Lexicon({"vermin": 3.0}, {})
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        toxicity.features('vermin "x" ' * n, lexicon)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_toxicity_query_is_right_out_of_fold(spark):
     sf = "/root/testdata/sf0.01"
     scored = QUERIES["op2_toxicity"](spark, sf)
@@ -617,6 +627,17 @@ def test_transcripts_are_cut_into_turns(spark, turns):
     assert len(got) == 8 and [x[4] for x in got if x[:3] == (1, 1, 0)] == ["Well then"]
 
 
+@pytest.mark.parametrize("text", [" " * 400_000 + "x", "# " * 200_000, "user " * 100_000, "user:" * 100_000, "user" + " " * 400_000])
+def test_markers_of_hostile_texts_take_linear_time(text):
+    took = []
+    for size in (len(text) // 4, len(text)):
+        start = time.process_time()
+        chat.pieces(text[:size])
+        chat.observation(text[:size])
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_any_number_of_roles_is_learned(spark):
     rows = [(c, t, f"r{t:02d}", "x " * 2 ** (t % 7) + "?" * (t % 2)) for c in range(3) for t in range(12)]
     model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
