@@ -19,18 +19,51 @@ def depth_first(adj: dict, start) -> list[tuple]:
 
 
 def lexicographic(adj: dict, start, depth_first_labels: bool) -> list:
-    """Lexicographic BFS (labels grow at the end) or DFS (at the front) from ``start``; ties by key."""
-    near = {v: {w for w, _ in ws if w != v} for v, ws in adj.items()}
-    labels: dict = {v: () for v in adj}
-    labels[start] = (len(adj) + 1,)
-    left, out = set(adj), []
-    while left:
-        v = min(left, key=lambda x: (tuple(-i for i in labels[x]) + (1,), x))
-        left.discard(v)
-        step = len(out) + 1 if depth_first_labels else len(adj) - len(out)
+    """Lexicographic BFS (labels grow at the end) or DFS (at the front) from ``start``; ties by key.
+
+    Vertices of equal labels form a class, in key order; classes stand in the order of their labels. A
+    visited vertex splits the classes of its neighbours: for BFS each part goes just before its class,
+    for DFS all go to the front. What left a class is skipped when the class is read."""
+    classes = [[start], [v for v in sorted(adj) if v != start]]
+    of = dict.fromkeys(classes[1], 1) | {start: 0}
+    read, place, after, before = [0, 0], [0, 1], [1, None], [None, 0]
+    stack, first, out = [1, 0], 0, []  # DFS: the stack's end comes first; BFS: linked from first on
+    while stack if depth_first_labels else first is not None:
+        c = stack[-1] if depth_first_labels else first
+        if read[c] == len(classes[c]):
+            if depth_first_labels:
+                stack.pop()
+            else:
+                first = after[c]
+                if first is not None:
+                    before[first] = None
+            continue
+        v = classes[c][read[c]]
+        read[c] += 1
+        if of[v] != c:
+            continue
+        of[v] = None
         out.append(v)
-        for w in near[v] & left:
-            labels[w] = (step, *labels[w]) if depth_first_labels else (*labels[w], step)
+        parts: dict = {}
+        for w in dict.fromkeys(w for w, _ in adj[v]):
+            if of[w] is not None:
+                parts.setdefault(of[w], []).append(w)
+        for c in sorted(parts, key=place.__getitem__, reverse=True) if depth_first_labels else parts:
+            new = len(classes)
+            classes.append(parts[c])
+            of.update(dict.fromkeys(parts[c], new))
+            read.append(0)
+            place.append(-new)
+            after.append(c)
+            before.append(before[c])
+            if depth_first_labels:
+                stack.append(new)
+                continue
+            if before[c] is None:
+                first = new
+            else:
+                after[before[c]] = new
+            before[c] = new
     return out
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -124,6 +125,31 @@ def test_planarity():
         assert not planarity.is_planar(v, numbered(split)) and planarity.is_planar(v, numbered(split[1:]))
 
 
+def by_labels(adj, start, depth_first_labels):
+    near = {v: {w for w, _ in ws if w != v} for v, ws in adj.items()}
+    labels, left, out = dict.fromkeys(adj, ()) | {start: (len(adj) + 1,)}, set(adj), []
+    while left:
+        v = min(left, key=lambda x: (tuple(-i for i in labels[x]) + (1,), x))
+        left.discard(v)
+        step = len(out) + 1 if depth_first_labels else len(adj) - len(out)
+        out.append(v)
+        for w in near[v] & left:
+            labels[w] = (step, *labels[w]) if depth_first_labels else (*labels[w], step)
+    return out
+
+
+def test_lexicographic_orders_equal_labels_and_take_linear_time():
+    for rng, v, e in graphs():
+        adj, start = adjacency(v, e), rng.choice(list(v))
+        for down in (False, True):
+            assert search.lexicographic(adj, start, down) == by_labels(adj, start, down)
+    n = 40_000  # a star, whose leaves stay in one class; picking the least label each time took n * n steps
+    adj = adjacency(range(n), [(i, 0, i) for i in range(1, n)])
+    began = time.process_time()
+    assert search.lexicographic(adj, 0, False) == search.lexicographic(adj, 0, True) == list(range(n))
+    assert time.process_time() - began < 20
+
+
 def test_lexicographic_bfs_of_a_chordal_graph_gives_perfect_elimination():
     edges = [(0, 0, 1), (1, 0, 2), (2, 1, 2), (3, 1, 3), (4, 2, 3), (5, 3, 4)]
     order = search.lexicographic(adjacency(range(5), edges), 0, False)
