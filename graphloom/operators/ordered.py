@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..errors import NotExistsError
 from ..functions.ranking import running_sum, with_rank
+from ..scratch import materialise
 
 
 def _first(df: DataFrame) -> Row | None:
@@ -195,14 +196,29 @@ class IndexedArray:
         return self.query(low, high, F.sum)
 
     def query_all(self, ranges: DataFrame, block: int = 1024) -> DataFrame:
-        """``(q, total, least, most)`` of each closed interval ``(q, low, high)``: whole blocks are
-        summed up first, so an interval meets its blocks and at most two blocks' cells."""
+        """``(q, total, least, most)`` of each closed interval ``(q, low, high)``. Whole blocks are summed up
+        first, then pairs of blocks, pairs of pairs and so on: an interval meets at most two nodes of each
+        level and the cells of at most two blocks, however long it is."""
+        measures = {"total": F.sum, "least": F.min, "most": F.max}
         c = self.cells.withColumn("b", F.floor(F.col("i") / block))
-        blocks = c.groupBy("b").agg(F.sum("x").alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
+        blocks = materialise(c.groupBy("b").agg(*(f("x").alias(name) for name, f in measures.items())), "blocks")
+        first, last = blocks.agg(F.min("b"), F.max("b")).first()
+        levels = 1 if first is None else (last - first + 1).bit_length()
         r = ranges.withColumns({"lb": F.floor(F.col("low") / block), "hb": F.floor(F.col("high") / block)}).filter("low <= high")
-        inner = r.filter("hb - lb > 1").withColumn("b", F.explode(F.sequence(F.col("lb") + 1, F.col("hb") - 1))).join(blocks, "b").select("q", "total", "least", "most")
-        edge = r.withColumn("b", F.explode(F.array_distinct(F.array("lb", "hb")))).join(c, "b").filter("i between low and high").select("q", F.col("x").alias("total"), F.col("x").alias("least"), F.col("x").alias("most"))
-        return inner.unionByName(edge).groupBy("q").agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+        # Blocks strictly between the ends, counted from the first block: [at, to).
+        at, to = F.greatest(F.col("lb") + 1, F.lit(first)) - F.lit(first), F.least(F.col("hb"), F.lit(last) + 1) - F.lit(first)
+        inner = r.select("q", at.alias("at"), to.alias("to")).filter("at < to").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+        # At each level an odd start and an odd end stand for nodes of their own; the level above has the rest.
+        inner = inner.withColumns({"at": F.expr("-shiftright(-at, level)"), "to": F.expr("shiftright(to, level)")}).filter("at < to")
+        ends = F.array(F.when(F.col("at") % 2 == 1, F.col("at")), F.when((F.col("to") % 2 == 1) & (F.col("at") + F.col("at") % 2 < F.col("to")), F.col("to") - 1))
+        inner = inner.select("q", "level", F.explode(F.array_compact(ends)).alias("node"))
+        nodes = blocks.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).groupBy("level", F.expr(f"shiftright(b - {first or 0}L, level)").alias("node"))
+        nodes = nodes.agg(*(f(name).alias(name) for name, f in measures.items()))
+        # Sizes before explode say nothing of those after it: no broadcast by them.
+        inner = inner.hint("merge").join(nodes.hint("merge"), ["level", "node"]).select("q", *measures)
+        edge = r.withColumn("b", F.explode(F.array_distinct(F.array("lb", "hb")))).hint("merge").join(c.hint("merge"), "b")
+        edge = edge.filter("i between low and high").select("q", *(F.col("x").alias(name) for name in measures))
+        return inner.unionByName(edge).groupBy("q").agg(*(f(name).alias(name) for name, f in measures.items()))
 
 
 @dataclass(frozen=True)

@@ -360,6 +360,19 @@ def test_arrays_and_queues(spark):
     assert top.first().key == 2 and len(rest) == 2 and p.update(3, 1).top().first().key == 3 and p.priority(1) == 5 and len(p.push(spark.createDataFrame([(2, "z", 8)], "key long, value string, priority long"))) == 3
 
 
+def test_interval_queries_meet_few_nodes(spark):
+    rng = random.Random(6)
+    cells = {i: rng.randrange(-50, 50) for i in range(-40, 150) if i % 7}
+    a = IndexedArray(spark.createDataFrame(list(cells.items()), "i long, x long"))
+    ranges = [(q, *sorted((rng.randrange(-60, 170), rng.randrange(-60, 170)))) for q in range(60)] + [(60, -(1 << 62), 1 << 62), (61, 9, 8), (62, 160, 170), (63, 7, 7)]
+    q = spark.createDataFrame(ranges, "q long, low long, high long")
+    inside = {n: [x for i, x in cells.items() if low <= i <= high] for n, low, high in ranges}
+    want = [(n, sum(xs), min(xs), max(xs)) for n, xs in inside.items() if xs]
+    for block in (1, 4, 64):
+        assert sorted(map(tuple, a.query_all(q, block).collect())) == want
+    assert a.query_all(q.limit(0)).isEmpty() and IndexedArray(a.cells.limit(0)).query_all(q).isEmpty()
+
+
 def test_spatial_and_prefix(spark):
     b = BoxTable(spark.createDataFrame([(i, float(i), 0.0, float(i + 1), 1.0, str(i)) for i in range(10)], "id long, minx double, miny double, maxx double, maxy double, data string"))
     assert keys(b.search((2.5, 0, 4, 1)), "id") == [2, 3, 4] and [r.id for r in b.nearest((0, 0, 1, 1), 3).collect()] == [0, 1, 2] and keys(b.within((0, 0, 1, 1), 1.5), "id") == [0, 1]
