@@ -14,7 +14,7 @@ from graphloom.operators.forest import DisjointSets, Forest, ParentForest
 from graphloom.operators.hyper import HyperGraph
 from graphloom.operators.ordered import IndexedArray, OrderedMap, PriorityTable, SequenceTable
 from graphloom.operators.per_component import rows_by_component
-from graphloom.operators.spatial import BoxTable, PrefixMap
+from graphloom.operators.spatial import BoxTable, PrefixMap, _may_hold, _summary, _tiled, centre_distance
 from graphloom.plans.jobs import JobGraph, State
 from graphloom.plans.workflow import Parameter, Task, Workflow
 from graphloom.sources import documents, drawing, generators
@@ -385,6 +385,29 @@ def test_spatial_and_prefix(spark):
     assert t.update("m", lambda v: v + 7).search("m") == 7 and t.scan().first().k == "m" and len(t.insert(spark.createDataFrame([("m", 5)], "k string, v int"))) == 15
 
 
+def test_nearest_each_meets_few_boxes(spark):
+    rng = random.Random(8)
+    inf, schema = float("inf"), "id long, minx double, miny double, maxx double, maxy double"
+    rows = [(i, float(rng.randrange(9)), float(rng.randrange(40)), float(9 + rng.randrange(3)), 50.0) for i in range(700)] + [(i, 500.0, 500.0, 501.0, 501.0) for i in range(700, 760)]
+    rows += [(760, None, 0.0, 1.0, 1.0), (761, inf, 0.0, inf, 1.0), (762, 1e200, 0.0, 1e200, 1.0), (763, None, None, None, None), (764, -0.0, -0.0, -0.0, -0.0), (765, 0.0, 0.0, 0.0, 0.0)] + [(i, 1e9, 1e9, 1e9 + (i % 7) * 1e-6, 1e9 + i * 1e-7) for i in range(770, 830)]
+    probes = [(q, *(float(rng.randrange(-5, 60)) for _ in range(4))) for q in range(25)] + [(25, 499.0, 501.0, 502.0, 500.0), (26, None, 0.0, 0.0, 0.0), (27, -0.0, 0.0, 0.0, 0.0), (28, 1e9, 1e9, 1e9 + 2e-6, 1e9 + 8e-5), (29, -1e15, 7.0, 1e15, 9.0)]
+    boxes, p = spark.createDataFrame(rows, schema), spark.createDataFrame(probes, schema.replace("id", "probe", 1))
+    found = lambda df: sorted((r.probe, r.place, r.id, r.distance) for r in df.collect())
+    plain = BoxTable(boxes, lambda a, b: centre_distance(a, b))
+    for k, tile in ((4, 8), (1, 512)):
+        assert found(BoxTable(boxes).nearest_each(p, k, tile)) == found(plain.nearest_each(p, k))
+    few = BoxTable(boxes.filter("id between 758 and 763"))
+    assert found(few.nearest_each(p.filter("probe < 3"), 9)) == found(BoxTable(few.boxes, plain.distance).nearest_each(p.filter("probe < 3"), 9))
+    assert few.nearest_each(p.limit(0), 3).isEmpty() and BoxTable(boxes.limit(0)).nearest_each(p, 3).isEmpty()
+
+
+def test_nearest_each_leaves_far_tiles(spark):
+    grid = spark.range(10_000).select(F.col("id"), (F.col("id") % 100).cast("double").alias("px"), F.floor(F.col("id") / 100).cast("double").alias("py"), F.lit(200.0).alias("size"))
+    tiles = _summary(_tiled(grid.withColumnsRenamed({"px": "cx", "py": "cy"}), 25).groupBy("tile"), F.count("*"), "cx", "cx", "cy", "cy")
+    kept = _may_hold(grid.filter("id % 50 = 0").withColumnRenamed("id", "probe").crossJoin(tiles), 5)
+    assert tiles.count() == 400 and kept.groupBy("probe").count().agg(F.max("count")).first()[0] < 30
+
+
 def test_documents(spark, basic, tmp_path):
     g = basic.set_vertex_label(1, "name", 'q"x').set_edge_weight(0, 2.5)
     text = documents.to_json(g).first().value
