@@ -12,15 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import ComponentTooLargeError
+from ..scratch import materialise
 from .traversal import components
 
 MAX_KERNEL_EDGES = 5_000_000
 
 
-def rows_by_component(g, limit: int = MAX_KERNEL_EDGES) -> DataFrame:
+def rows_by_component(g, limit: int = MAX_KERNEL_EDGES, connected: bool = False) -> DataFrame:
     """``(comp, kind, key, tail, head, weight)``: kind 0 rows are vertices, kind 1 edges; all keys of
-    vertices are in tail and head."""
-    comp = components(g)
+    vertices are in tail and head. A graph that is ``connected`` by its making is one component."""
+    if connected:
+        g = g.with_(vertices=materialise(g.vertices.select("key"), "whole"))
+        comp = g.vertices.withColumn("comp", F.lit(0))
+    else:
+        comp = components(g)
     v = comp.select("comp", F.lit(0).alias("kind"), F.lit(None).cast(dict(g.edges.dtypes)["key"]).alias("key"), F.col("key").alias("tail"), F.col("key").alias("head"), F.lit(0.0).alias("weight"))
     e = g.edges.join(comp.select(F.col("key").alias("tail"), "comp"), "tail").select("comp", F.lit(1).alias("kind"), "key", "tail", "head", "weight")
     big = e.groupBy("comp").count().orderBy(F.desc("count")).limit(1).collect()
@@ -29,7 +34,7 @@ def rows_by_component(g, limit: int = MAX_KERNEL_EDGES) -> DataFrame:
     return v.unionByName(e)
 
 
-def by_component(g, kernel: Callable[[list, list], list[tuple]], schema: str, limit: int = MAX_KERNEL_EDGES) -> DataFrame:
+def by_component(g, kernel: Callable[[list, list], list[tuple]], schema: str, limit: int = MAX_KERNEL_EDGES, connected: bool = False) -> DataFrame:
     """``kernel(vertices, edges)`` of each component, edges as (key, tail, head, weight) by key; it
     gives rows of ``schema``."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -40,7 +45,7 @@ def by_component(g, kernel: Callable[[list, list], list[tuple]], schema: str, li
         edges = [(_plain(k), _plain(t), _plain(h), w) for k, t, h, w in edges]
         return pd.DataFrame(kernel([_plain(v) for v in vertices], edges), columns=names)
 
-    return rows_by_component(g, limit).groupBy("comp").applyInPandas(run, schema)
+    return rows_by_component(g, limit, connected).groupBy("comp").applyInPandas(run, schema)
 
 
 def _plain(x):

@@ -217,7 +217,7 @@ def sides(g) -> DataFrame:
 
 
 def _reachable(g, start, incoming: bool):
-    keys = breadth_first(g, start, incoming).select("key")
+    keys = materialise(breadth_first(g, start, incoming).select("key"), "reachable")
     return g.induced(keys)
 
 
@@ -231,7 +231,7 @@ def depth_first(g, start, incoming: bool = False) -> DataFrame:
         pairs = [(k, h, t) if incoming else (k, t, h) for k, t, h, _ in edges]
         return search.depth_first(adjacency(vertices, pairs, directed), start)
 
-    return by_component(part, kernel, f"key {kind}, position long, parent {kind}")
+    return by_component(part, kernel, f"key {kind}, position long, parent {kind}", connected=True)
 
 
 def lexicographic_order(g, start, depth_first_labels: bool = False) -> DataFrame:
@@ -243,7 +243,7 @@ def lexicographic_order(g, start, depth_first_labels: bool = False) -> DataFrame
     def kernel(vertices, edges):
         return [(v, i) for i, v in enumerate(search.lexicographic(adjacency(vertices, [e[:3] for e in edges]), start, depth_first_labels))]
 
-    return by_component(part, kernel, f"key {key_type(g)}, position long")
+    return by_component(part, kernel, f"key {key_type(g)}, position long", connected=True)
 
 
 # -- cut vertices and bridges ----------------------------------------------------------------
